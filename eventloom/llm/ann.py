@@ -5,7 +5,7 @@ largest inner product is the smallest distance. It keeps, for each of ``PROJECTI
 sorted by projection. A query, scaled to the same norm, opens a window around its own projection in every sorted array;
 virtual rehashing widens all windows by ``GROWTH`` at a time, and only the newly covered stretches are counted. Vectors
 with at least ``THRESHOLD`` of the projections colliding are verified by their exact inner product; a block is done
-once ``VERIFIED`` of its vectors have been.
+once ``VERIFIED`` of its vectors and ten times k have been.
 
 Queries meet blocks as blocks of queries, by an equality join on the block's number; each pair of blocks gives at most
 ``k`` rows a query. Every vector is indexed, and no bucket has a cap.
@@ -49,7 +49,7 @@ class Index:
         """The ids and inner products of the k best verified vectors but the query's own, best first, ties to the smaller id."""
         n, query = len(self.ids), query.astype(np.float64)
         centre = self.directions[:, :-1] @ (query * (self.norm / np.sqrt((query**2).sum())))
-        need, want = int(np.ceil(THRESHOLD * PROJECTIONS)), min(n, max(int(np.ceil(VERIFIED * n)), 4 * k + 1))
+        need, want = int(np.ceil(THRESHOLD * PROJECTIONS)), min(n, int(np.ceil(VERIFIED * n)) + 10 * k)
         counts, half = np.zeros(n, np.int64), START * self.norm
         low = high = None
         while True:
