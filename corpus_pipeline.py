@@ -3,18 +3,48 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from eventloom.llm import bpe
+from eventloom.llm import bpe, langid, mixing, secrets, simhash
 from eventloom.llm.common import Written
 from eventloom.llm.queries import tokenizer_path
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Share of its n-grams that the chosen language's filter must explain; text in a known language has far more.
+LEAST_SCORE = 0.2
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents in a language that the labelled ones teach; a missing label becomes the language found."""
+    filters = langid.train(docs)
+    found = langid.predict(docs, filters, keep={c: c for c in COLUMNS})
+    known = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, similarity 0.8."""
+    return simhash.one_of_each(docs.select(*COLUMNS))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Puts the kind of each secret in its place; all documents stay."""
+    found = secrets.scan(docs, keep={c: c for c in COLUMNS})
+    masked = found.withColumn("text", secrets.mask_spans(F.col("text"), F.col("found")))
+    return masked.withColumn("n_chars", F.when(F.size("found") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing.repeated(docs.select(*COLUMNS))
+
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """BPE encoding of every text that is left, and the round trip's digests."""
+    """The ids' and the decoded texts' digests of every document that is left."""
     return bpe.digests(docs, tokenizer_path())
 
 
-STAGES = [("bpe", encode)]
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("secrets", secret_scan), ("mixing", mix_sources), ("bpe", encode)]
 
 #: The stages go beyond what SQL can say; tests hold them against brute force.
 ORACLE_SQL = None

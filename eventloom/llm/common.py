@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -89,3 +90,9 @@ def text_key(text: Column) -> list[Column]:
     """128 bits that stand for a text: two XXH64 with independent seeds (null and empty alike)."""
     held = F.coalesce(text, F.lit(""))
     return [F.xxhash64(held).alias("_k1"), F.xxhash64(F.lit(1), held).alias("_k2")]
+
+
+def release(spark: SparkSession) -> None:
+    """Lets go of shuffle files that no live frame needs: Spark drops them when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

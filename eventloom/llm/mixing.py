@@ -133,3 +133,18 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", keep: str = "
     taken = pieces.join(visits, ["number", "piece"], "left").groupBy("number", "first", "_id", "_size", "source_size", "target").agg(F.sum(covered * F.coalesce("visits", F.lit(0))).alias("taken"))
     none = docs.where("_size = 0").select("_id", "_size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
     return taken.select("_id", "_size", "source_size", "target", "taken").unionByName(none).select(F.col("_id").alias(keep), F.col("_size").alias("size"), "source_size", "target", "taken")
+
+
+def repeated(df: DataFrame, text: str = "text", source: str = "source", keep: str = "doc_id") -> DataFrame:
+    """The rows of ``df`` as often as the mix takes them: words taken over words held, rounded half up, at most MOST.
+
+    Rows that it takes less than half go. A row is known by 128 bits of its id and text; equal rows count as one
+    document of their joint words.
+    """
+    by = [F.xxhash64(F.lit(1), F.col(keep), F.col(text)).alias("_b1"), F.xxhash64(F.lit(2), F.col(keep), F.col(text)).alias("_b2")]
+    keyed = df.select("*", *by)
+    rows = keyed.select(F.struct("_b1", "_b2").alias("_b"), F.col(source), F.col(text))
+    taken = mix(rows, text, source, "_b").groupBy("_b").agg(F.sum("size").alias("_size"), F.sum("taken").alias("_taken"), F.count("*").alias("_rows"))
+    times = taken.where("_size > 0").select("_b._b1", "_b._b2", F.least(F.lit(MOST) * F.col("_rows"), F.expr("(2 * _taken * _rows + _size) div (2 * _size)")).cast("int").alias("_times")).where("_times > 0")
+    once = keyed.join(Written(times, "times").df, ["_b1", "_b2"]).dropDuplicates(["_b1", "_b2"])
+    return once.select(*df.columns, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_time")).drop("_time")

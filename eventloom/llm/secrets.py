@@ -127,10 +127,9 @@ def scan(df: DataFrame, text: str = "text", keep: dict[str, str] | None = None,
     keep = keep or {"doc_id": "doc_id"}
     query = Query(rules)
     body = F.coalesce(F.col("_text"), F.lit(""))
-    base = df.select(*[F.col(a).alias(f"_keep{i}") for i, a in enumerate(keep)], F.col(text).cast("string").alias("_text"))
-    keyed = base.select("*", *text_key(F.col("_text")), F.lower(body).alias("_low"))
-    rows = keyed.select(*[f"_keep{i}" for i in range(len(keep))], "_k1", "_k2", query.found(F.col("_low")).alias("_mask"), _all_spans(query.full, rules, body).alias("_full"))
-    written = Written(rows, "secret-postings").df
+    held = df.select(*[F.col(a).alias(f"_keep{i}") for i, a in enumerate(keep)], F.col(text).cast("string").alias("_text")).select("*", *text_key(F.col("_text")))
+    low = F.lower(body).alias("_low")
+    written = Written(held.select("_k1", "_k2", low).select("_k1", "_k2", query.found(F.col("_low")).alias("_mask")).where("_mask != 0"), "secret-postings").df
     numbers = F.filter(F.array(*[F.lit(i) for i in range(len(query.names))]), lambda i: F.getbit("_mask", i) == 1)
     index = written.select("_k1", "_k2", F.explode(numbers).alias("_trigram"))
     found = index.groupBy("_k1", "_k2").agg(F.bit_or(F.expr("shiftleft(1L, _trigram)")).alias("_found"))
@@ -138,9 +137,10 @@ def scan(df: DataFrame, text: str = "text", keep: dict[str, str] | None = None,
     for rule in query.indexed:
         wanted = wanted | query.holds(rule, F.col("_found"))
     candidates = found.where(wanted).select("_k1", "_k2")
-    texts = keyed.where(query.driven(F.col("_low"))).select("_k1", "_k2", "_text")
-    verified = texts.join(candidates, ["_k1", "_k2"], "left_semi").select("_k1", "_k2", _all_spans(query.indexed, rules, body).alias("_more")).where(F.size("_more") > 0).dropDuplicates(["_k1", "_k2"])
-    joined = written.join(verified, ["_k1", "_k2"], "left")
+    texts = held.select("_k1", "_k2", "_text", low).where(query.driven(F.col("_low"))).select("_k1", "_k2", "_text")
+    more = texts.join(candidates, ["_k1", "_k2"], "left_semi").select("_k1", "_k2", _all_spans(query.indexed, rules, body).alias("_more")).where(F.size("_more") > 0).dropDuplicates(["_k1", "_k2"])
+    verified = Written(more, "secret-spans").df
+    joined = held.withColumn("_full", _all_spans(query.full, rules, body)).drop("_text").join(verified, ["_k1", "_k2"], "left")
     every = F.array_sort(F.concat("_full", F.coalesce("_more", F.array().cast(SPAN))))
     return joined.select(*[F.col(f"_keep{i}").alias(b) for i, b in enumerate(keep.values())], every.alias("found"))
 

@@ -9,7 +9,6 @@ same components with a number of rows in proportion to the fingerprints.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
 
 import numpy as np
@@ -18,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, map_texts, text_key
+from .common import Written, bounded_batches, map_texts, release, text_key
 from .components import components
 
 SEED = 42
@@ -136,3 +135,106 @@ def near_duplicates(df: DataFrame, shingle: int = 3, text: str = "text", keep: s
     lowest = labelled.groupBy("label").agg(F.min("least").alias("lowest"))
     groups = distinct.join(labelled.join(lowest, "label").select("fp", "lowest"), "fp", "left").select("fp", F.coalesce("lowest", "least").alias("component_id"))
     return rows.join(groups, "fp").select(F.col("_id").alias(keep), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: Near-duplicates by similarity: 64-bit words of a wide fingerprint, bits of each segment that a ball may change, and
+#: the differing bits from which a pair isn't verified any more (similarity 0.8 makes about 39 of 256 differ).
+WORDS = 4
+LOOSE_BITS = 4
+FARTHEST = 64
+SEGMENTS = WORDS * 64 // SEGMENT_BITS
+
+
+def wide_fingerprint(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of distinct shingles: 256 bits as eight segments, and for each segment the four bits nearest to one half.
+
+    A word is made of its own remix of the shingles' hashes. Near copies differ mostly in bits that few shingles
+    decide, so the ball around a segment is spanned by those.
+    """
+    sums = []
+    for k in range(WORDS):
+        mixed = hashes * np.uint64(2 * k + 1) if k else hashes
+        if k:
+            mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            mixed ^= mixed >> np.uint64(32)
+        sums.append(2 * bit_counts(mixed) - len(hashes))
+    margins = np.concatenate(sums).reshape(SEGMENTS, SEGMENT_BITS)
+    bits = np.packbits(margins > 0, axis=1, bitorder="little").view("<i4").ravel()
+    loose = np.argsort(np.abs(margins), axis=1, kind="stable")[:, :LOOSE_BITS]
+    return bits, (np.uint32(1) << loose.astype(np.uint32)).view(np.int32).ravel()
+
+
+def _signatures(df: DataFrame, shingle: int, text: str, keep: str) -> DataFrame:
+    """A row for each distinct text with a word: ``_k1``, ``_k2``, ``node`` (smallest id), ``seg``, ``loose``."""
+
+    def make() -> Callable:
+        def work(texts: list) -> dict:
+            made = [wide_fingerprint(h) if len(h := np.unique(shingle_hashes(t, shingle))) else None for t in texts]
+            return {"seg": pa.array([m and m[0] for m in made], pa.list_(pa.int32())), "loose": pa.array([m and m[1] for m in made], pa.list_(pa.int32()))}
+
+        return work
+
+    keyed = df.select(F.col(keep).cast("long").alias("_id"), F.col(text).alias("_t"), *text_key(F.col(text)))
+    rows = map_texts(keyed, make, "_id long, _k1 long, _k2 long, seg array<int>, loose array<int>", "_t", {"_id": "_id", "_k1": "_k1", "_k2": "_k2"})
+    return rows.where("seg is not null").groupBy("_k1", "_k2").agg(F.min("_id").alias("_id"), F.any_value("seg").alias("seg"), F.any_value("loose").alias("loose")).select("_k1", "_k2", F.coalesce("_id", "_k1").alias("node"), "seg", "loose")
+
+
+def _candidates(signatures: DataFrame) -> DataFrame:
+    """(a, b), a < b: texts with a ball's member in common, each against the smallest and the largest of the member."""
+    flips = 1 << LOOSE_BITS
+    j = F.col("j")
+    segment = (j / flips).cast("int")
+    value = F.get("seg", segment)
+    for bit in range(LOOSE_BITS):
+        value = value.bitwiseXOR(F.when(F.getbit(j.cast("long"), F.lit(bit)) == 1, F.get("loose", segment * LOOSE_BITS + bit)).otherwise(F.lit(0)))
+    keyed = signatures.select("node", "seg", "loose", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS * flips - 1))).alias("j")).select("node", F.xxhash64(segment, value).alias("key"))
+    ends = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
+    met = keyed.join(ends, "key").select("node", F.explode(F.array("lo", "hi")).alias("other")).where("node != other")
+    return met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
+def similar_pairs(df: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text", keep: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """The distinct texts' signatures, and pairs (a, b) of nodes verified: Jaccard similarity of their sets of shingles."""
+    signatures = Written(_signatures(df, shingle, text, keep), "signatures").df
+    pairs = Written(_candidates(signatures), "candidates").df
+    release(df.sparkSession)
+    of = lambda name: signatures.select(F.col("node").alias(name), F.col("seg").alias(f"seg_{name}"))
+    distance = F.aggregate(F.zip_with("seg_a", "seg_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    near = Written(pairs.join(of("a"), "a").join(of("b"), "b").where(distance <= FARTHEST).select("a", "b"), "near").df
+    asked = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct().join(signatures.select("node", "_k1", "_k2"), "node")
+    texts = df.select(F.col(text).alias("_t"), *text_key(F.col(text))).join(asked, ["_k1", "_k2"]).select("node", "_t").dropDuplicates(["node"])
+    held = Written(texts, "near-texts").df
+    bounded_batches(df.sparkSession)
+    side = lambda name: held.select(F.col("node").alias(name), F.col("_t").alias(f"text_{name}"))
+
+    def run(batches):
+        for batch in batches:
+            alike = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = np.unique(shingle_hashes(x, shingle)), np.unique(shingle_hashes(y, shingle))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                alike.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(alike, pa.bool_()))
+
+    verified = near.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return signatures, Written(verified, "similar").df
+
+
+def one_of_each(df: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text", keep: str = "doc_id") -> DataFrame:
+    """The rows of ``df`` less near-duplicates: of each group that similar pairs and equal texts join, the row of the
+    smallest ``keep`` stays.
+
+    Candidates come from wide SimHash fingerprints by multi-index hashing, with balls over each segment's least certain
+    bits; the shingles' Jaccard similarity is then verified, so no pair below it is joined (of pairs just above it some
+    have no ball in common and are missed; the README has figures). Texts without a word have equal texts as their only
+    duplicates; null counts as empty. Of rows with the same id and text one stays.
+    """
+    signatures, pairs = similar_pairs(df, shingle, similarity, text, keep)
+    labels = components(pairs).where("node != label").select("node")
+    release(df.sparkSession)
+    keyed = df.select("*", *text_key(F.col(text)))
+    first = keyed.groupBy("_k1", "_k2").agg(F.min(F.col(keep).cast("long")).alias("_first"))
+    gone = signatures.join(labels, "node", "left_semi").select("_k1", "_k2")
+    stays = Written(first.join(gone, ["_k1", "_k2"], "left_anti"), "stays").df
+    kept = keyed.join(stays, ["_k1", "_k2"]).where(F.col(keep).eqNullSafe(F.col("_first")))
+    return kept.dropDuplicates(["_k1", "_k2"]).select(*df.columns)
