@@ -86,6 +86,11 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list], dict]], schema:
     return inner.mapInArrow(run, schema)
 
 
+def packed(df: DataFrame) -> Column:
+    """All columns as one, so that names of one's own cannot clash with theirs; ``_all.*`` unpacks them."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]).alias("_all")
+
+
 def text_key(text: Column) -> list[Column]:
     """128 bits that stand for a text: two XXH64 with independent seeds (null and empty alike)."""
     held = F.coalesce(text, F.lit(""))

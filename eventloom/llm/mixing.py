@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Written
+from .common import Written, packed
 
 WEIGHTS = (1, 2, 3)
 #: No document is taken more often.
@@ -142,9 +142,9 @@ def repeated(df: DataFrame, text: str = "text", source: str = "source", keep: st
     document of their joint words.
     """
     by = [F.xxhash64(F.lit(1), F.col(keep), F.col(text)).alias("_b1"), F.xxhash64(F.lit(2), F.col(keep), F.col(text)).alias("_b2")]
-    keyed = df.select("*", *by)
-    rows = keyed.select(F.struct("_b1", "_b2").alias("_b"), F.col(source), F.col(text))
+    keyed = df.select(packed(df), *by)
+    rows = df.select(F.struct(*by).alias("_b"), F.col(source), F.col(text))
     taken = mix(rows, text, source, "_b").groupBy("_b").agg(F.sum("size").alias("_size"), F.sum("taken").alias("_taken"), F.count("*").alias("_rows"))
     times = taken.where("_size > 0").select("_b._b1", "_b._b2", F.least(F.lit(MOST) * F.col("_rows"), F.expr("(2 * _taken * _rows + _size) div (2 * _size)")).cast("int").alias("_times")).where("_times > 0")
     once = keyed.join(Written(times, "times").df, ["_b1", "_b2"]).dropDuplicates(["_b1", "_b2"])
-    return once.select(*df.columns, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_time")).drop("_time")
+    return once.select("_all", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_all.*")

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, bounded_batches, map_texts, release, text_key
+from .common import Written, bounded_batches, map_texts, packed, release, text_key
 from .components import components
 
 SEED = 42
@@ -199,7 +199,7 @@ def similar_pairs(df: DataFrame, shingle: int = 5, similarity: float = 0.8, text
     pairs = Written(_candidates(signatures), "candidates").df
     release(df.sparkSession)
     of = lambda name: signatures.select(F.col("node").alias(name), F.col("seg").alias(f"seg_{name}"))
-    distance = F.aggregate(F.zip_with("seg_a", "seg_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    distance = F.aggregate(F.zip_with("seg_a", "seg_b", lambda x, y: F.bit_count(x.bitwiseXOR(y).cast("long").bitwiseAND(F.lit(LOW_SEGMENT)))), F.lit(0), lambda s, x: s + x)
     near = Written(pairs.join(of("a"), "a").join(of("b"), "b").where(distance <= FARTHEST).select("a", "b"), "near").df
     asked = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct().join(signatures.select("node", "_k1", "_k2"), "node")
     texts = df.select(F.col(text).alias("_t"), *text_key(F.col(text))).join(asked, ["_k1", "_k2"]).select("node", "_t").dropDuplicates(["node"])
@@ -232,9 +232,9 @@ def one_of_each(df: DataFrame, shingle: int = 5, similarity: float = 0.8, text:
     signatures, pairs = similar_pairs(df, shingle, similarity, text, keep)
     labels = components(pairs).where("node != label").select("node")
     release(df.sparkSession)
-    keyed = df.select("*", *text_key(F.col(text)))
-    first = keyed.groupBy("_k1", "_k2").agg(F.min(F.col(keep).cast("long")).alias("_first"))
+    keyed = df.select(packed(df), F.col(keep).cast("long").alias("_id"), *text_key(F.col(text)))
+    first = keyed.groupBy("_k1", "_k2").agg(F.min("_id").alias("_first"))
     gone = signatures.join(labels, "node", "left_semi").select("_k1", "_k2")
     stays = Written(first.join(gone, ["_k1", "_k2"], "left_anti"), "stays").df
-    kept = keyed.join(stays, ["_k1", "_k2"]).where(F.col(keep).eqNullSafe(F.col("_first")))
-    return kept.dropDuplicates(["_k1", "_k2"]).select(*df.columns)
+    kept = keyed.join(stays, ["_k1", "_k2"]).where(F.col("_id").eqNullSafe(F.col("_first")))
+    return kept.dropDuplicates(["_k1", "_k2"]).select("_all.*")
