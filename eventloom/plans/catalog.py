@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventloom.functions import arrays
 from eventloom.operators.base import Context, events
 from eventloom.operators.binned import BinnedDataframe, BuildAghast
 from eventloom.operators.cutflow import CutFlow, SelectPhaseSpace
@@ -270,3 +271,19 @@ def _union(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     ctx = events(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return BinnedDataframe("hist", binning=[{"in": "label"}, {"in": "embedding", "out": "x", "bins": {"edges": [-0.1, 0, 0.1]}}], dataset_col=False, observed=True).collect(ctx)
+
+
+def _array(name: str, work, sql: str) -> None:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ctx = order_events(spark, sf_dir)
+        out = work(ctx.compile("Item_quantity"))
+        text = F.array_join(F.transform(out.column, lambda x: F.coalesce(x.cast("bigint").cast("string"), F.lit("null"))), ",")
+        return ctx.df.select("o_orderkey", text.alias("value"))
+
+    register(name, f"SELECT o_orderkey, coalesce(array_to_string(list_transform({sql}, lambda x: coalesce((x::BIGINT)::VARCHAR, 'null')), ','), '') AS value FROM ev")(query)
+
+
+_array("array_pad", lambda v: arrays.pad(v, 3), "list_resize(q, greatest(n, 3))")
+_array("array_fill_none", lambda v: arrays.fill_none(arrays.pad(v, 3), -1), "list_resize(q, greatest(n, 3), -1.0)")
+_array("array_values_as_type", lambda v: arrays.values_as_type(v, "int"), "q")
+_array("array_flatten", lambda v: arrays.flatten(arrays.Typed(F.array(v.column, v.column), v.kind, 2)), "list_concat(q, q)")
