@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Written
+from .common import Written, ship_code
 
 #: Vectors of a block, and queries of a block, at most.
 BLOCK = 8192
@@ -113,6 +113,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, vector: str = "embedd
     zero or hold a null or non-finite component take no part; vectors of other dimensions than the query's neither.
     A repeated query row is one query. Fewer candidates give fewer rows; an empty table gives none.
     """
+    ship_code(df.sparkSession)
     numbered = Written(_blocks(_valid(df, vector, keep), BLOCK).withColumn("block", F.monotonically_increasing_id()), "ann-blocks").df
     places = numbered.select("dim", "block")
     count = places.count()

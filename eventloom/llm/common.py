@@ -5,7 +5,9 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 256
 
 _own: dict[str, str] = {}
+_shipped: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -59,8 +62,23 @@ class Written:
         delete(self.spark, self.path)
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Gives the executors this package once a context, whatever paths they were started with."""
+    context = spark.sparkContext
+    if _shipped.get("to") != context.applicationId:
+        package = Path(__file__).resolve().parents[1]
+        archive = Path(tempfile.mkdtemp(prefix="eventloom-code-")).resolve() / f"{package.name}.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for source in sorted(package.rglob("*.py")):
+                out.write(source, source.relative_to(package.parent))
+        context.addPyFile(str(archive))
+        _shipped["to"] = context.applicationId
+
+
 def bounded_batches(spark: SparkSession) -> None:
-    """Lowers Spark's default Arrow batch, made for narrow rows, to one that holds long texts. Own settings stay."""
+    """Readies a session for passes in Python: the code is shipped, and Spark's default Arrow batch, made for narrow rows,
+    is lowered to one that holds long texts. Own settings stay."""
+    ship_code(spark)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, bounded_batches, release
+from .common import Written, bounded_batches, release, text_key
 from .suffixes import suffix_array
 
 LENGTH = 50
@@ -206,24 +206,45 @@ def _crowded(bodies: DataFrame) -> DataFrame:
     return strings.join(firsts, "string").where("low < most").select("k1", "k2", F.col("at").alias("first"), F.col("at").alias("last"), F.col("low").alias("least"))
 
 
-def spans(df: DataFrame, text: str = "text", keep: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """The documents with a row hash ``_row``, and (row, from, to): byte ranges to remove, which may overlap."""
+def _firsts(df: DataFrame, text: str, keep: str) -> DataFrame:
+    """The smallest document of each text long enough: ``_k1``, ``_k2``, ``_first``."""
+    keyed = df.where(F.col(keep).isNotNull() & (F.octet_length(text) >= LENGTH)).select(F.col(keep).cast("long").alias("_doc"), *text_key(F.col(text)))
+    return keyed.groupBy("_k1", "_k2").agg(F.min("_doc").alias("_first"))
+
+
+def spans(df: DataFrame, text: str = "text", keep: str = "doc_id") -> DataFrame:
+    """``_k1``, ``_k2``, ``_first`` of each text long enough, and ``ranges``: the byte ranges (from, to) that the text's
+    first document must remove, which may overlap (null: none)."""
     spark = df.sparkSession
-    docs = df.where(F.col(keep).isNotNull() & (F.octet_length(text) >= LENGTH)).select(F.col(keep).cast("long").alias("_doc"), F.xxhash64(F.lit(3), F.col(keep).cast("long"), F.col(text)).alias("_row"), F.col(text).cast("string").alias("_text"))
-    shared = Written(_rows(docs, False).groupBy("anchor").agg(F.min("owner").alias("lo"), F.max("owner").alias("hi")).where("lo < hi").select("anchor"), "anchors").df
+    firsts = Written(_firsts(df, text, keep), "firsts")
+    keyed = df.where(F.octet_length(text) >= LENGTH).select(F.col(keep).cast("long").alias("_doc"), F.col(text).cast("string").alias("_text"), *text_key(F.col(text)))
+    once = keyed.join(firsts.df, ["_k1", "_k2"]).where("_doc = _first").dropDuplicates(["_k1", "_k2"])
+    unique = Written(once.select(F.monotonically_increasing_id().alias("_row"), "_doc", "_k1", "_k2", "_text"), "unique")
+    docs = unique.df
     release(spark)
-    places = Written(_rows(docs, True).join(shared.hint("shuffle_hash"), "anchor", "left_semi"), "places").df
+    shared = Written(_rows(docs, False).groupBy("anchor").agg(F.min("owner").alias("lo"), F.max("owner").alias("hi")).where("lo < hi").select("anchor"), "anchors")
+    release(spark)
+    places = Written(_rows(docs, True).join(shared.df.hint("shuffle_hash"), "anchor", "left_semi"), "places")
+    shared.drop()
     release(spark)
     key = [F.xxhash64("anchor", "body").alias("k1"), F.xxhash64(F.lit(1), F.col("anchor"), F.col("body")).alias("k2")]
-    around = Written(_neighbourhoods(docs, places).select("*", *key), "neighbourhoods").df
+    around = Written(_neighbourhoods(docs, places.df).select("*", *key), "neighbourhoods")
+    places.drop()
+    release(spark)
+    bodies = Written(around.df.groupBy("anchor", "k1", "k2", "shift", "body").agg(F.min("doc").alias("least"), F.max("doc").alias("most")), "bodies")
+    crowds = Written(bodies.df.groupBy("anchor").count().where(F.col("count") > CROWD).select("anchor"), "crowds")
+    calm, crowded = bodies.df.join(crowds.df, "anchor", "left_anti"), bodies.df.join(crowds.df, "anchor", "left_semi")
+    found = Written(_search(calm).unionByName(_crowded(crowded)), "found")
+    bodies.drop()
     release(spark)
-    bodies = Written(around.groupBy("anchor", "k1", "k2", "shift", "body").agg(F.min("doc").alias("least"), F.max("doc").alias("most")), "bodies").df
-    crowds = Written(bodies.groupBy("anchor").count().where(F.col("count") > CROWD).select("anchor"), "crowds").df
-    found = _search(bodies.join(crowds, "anchor", "left_anti")).unionByName(_crowded(bodies.join(crowds, "anchor", "left_semi")))
-    held = Written(found, "found").df
+    ranges = around.df.select("k1", "k2", "doc", "row", "start").join(found.df, ["k1", "k2"]).where("least < doc")
+    ranges = ranges.select("row", F.struct((F.col("start") + F.col("first")).alias("from"), (F.col("start") + F.col("last") + LENGTH).alias("to")).alias("range"))
+    cuts = ranges.groupBy("row").agg(F.collect_set("range").alias("ranges"))
+    named = Written(docs.select(F.col("_row").alias("row"), "_k1", "_k2").join(cuts, "row").select("_k1", "_k2", "ranges"), "cuts")
+    for table in (around, found, unique):
+        table.drop()
     release(spark)
-    ranges = around.select("k1", "k2", "doc", "row", "start").join(held, ["k1", "k2"]).where("least < doc")
-    return docs, ranges.select("row", (F.col("start") + F.col("first")).alias("from"), (F.col("start") + F.col("last") + LENGTH).alias("to"))
+    return firsts.df.join(named.df, ["_k1", "_k2"], "left")
 
 
 def _merged(ranges: list[dict]) -> list[tuple[int, int]]:
@@ -243,11 +264,11 @@ def dedup(df: DataFrame, text: str = "text", keep: str = "doc_id", kept: bool =
     empty; null ids are neither earlier nor later than others and lose nothing; rows of one id are one document's.
     Repeated rows stay; an empty table gives no rows; other columns are ignored.
     """
-    _, ranges = spans(df, text, keep)
-    cuts = Written(ranges.groupBy("row").agg(F.collect_set(F.struct("from", "to")).alias("ranges")), "cuts").df
-    release(df.sparkSession)
-    rows = df.select(F.col(keep).alias("_id"), F.col(text).cast("string").alias("_text"), F.xxhash64(F.lit(3), F.col(keep).cast("long"), F.col(text)).alias("_row"))
-    joined = rows.join(cuts, F.col("_row") == F.col("row"), "left").select("_id", "_text", "ranges")
+    rows = df.select(F.col(keep).alias("_id"), F.col(text).cast("string").alias("_text"), *text_key(F.col(text)))
+    copy = F.coalesce(F.col("_id").cast("long") > F.col("_first"), F.lit(False))
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("from"), F.octet_length("_text").cast("long").alias("to")))
+    ranges = F.when(copy, whole).when(F.col("_id").isNotNull(), F.col("ranges"))
+    joined = rows.join(spans(df, text, keep), ["_k1", "_k2"], "left").select("_id", "_text", ranges.alias("ranges"))
     bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
