@@ -160,6 +160,10 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", keep: str = "do
     """
     bounded_batches(df.sparkSession)
     rows = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("_lang"), F.col(text).alias("_text"), F.xxhash64(F.lit(7), F.col(keep), F.col(text)).alias("_by"))
+    # Four times the sample by hash alone, then exactly the sample: what meets in a language's task has a bound.
+    shares = {r["_lang"]: min(1.0, 4.0 * per_language / r["n"]) for r in df.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("_lang")).agg(F.count("*").alias("n")).collect()}
+    share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair]) if shares else F.create_map(F.lit(""), F.lit(1.0))
+    rows = rows.where(F.shiftrightunsigned("_by", 11) / float(1 << 53) < F.coalesce(F.try_element_at(share, F.col("_lang")), F.lit(1.0)))
     sample = rows.withColumn("_n", F.row_number().over(W.partitionBy("_lang").orderBy("_by"))).where(F.col("_n") <= per_language)
     sizes = {r["_lang"]: r["n"] for r in sample.groupBy("_lang").agg(F.count("*").alias("n")).collect()}
 
