@@ -236,5 +236,7 @@ def one_of_each(df: DataFrame, shingle: int = 5, similarity: float = 0.8, text:
     first = keyed.groupBy("_k1", "_k2").agg(F.min("_id").alias("_first"))
     gone = signatures.join(labels, "node", "left_semi").select("_k1", "_k2")
     stays = Written(first.join(gone, ["_k1", "_k2"], "left_anti"), "stays").df
-    kept = keyed.join(stays, ["_k1", "_k2"]).where(F.col("_id").eqNullSafe(F.col("_first")))
+    # No equality that would become a third join key: the texts move once, for join and distinct.
+    same = F.coalesce(F.col("_id").bitwiseXOR(F.col("_first")) == 0, F.col("_id").isNull() & F.col("_first").isNull())
+    kept = keyed.join(stays, ["_k1", "_k2"]).where(same)
     return kept.dropDuplicates(["_k1", "_k2"]).select("_all.*")
