@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
@@ -116,6 +117,11 @@ def text_key(text: Column) -> list[Column]:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets go of shuffle files that no live frame needs: Spark drops them when the driver's garbage is collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets go of shuffle files that no live frame needs: Spark drops them when the driver's garbage is collected.
+
+    Twice, as what the first round frees may have held others; the pause is for the cleaner's own thread.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)

@@ -53,8 +53,11 @@ def _gram_hashes(data: bytes) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
-def anchor_runs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first string's start, number of strings, and the anchor's offset in the first string, of each run."""
+def anchor_runs(data: bytes, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first string's start, number of strings, and the anchor's offset in the first string, of each run.
+
+    ``ends``: where texts end that are joined to less than BLOCK bytes; strings do not cross them.
+    """
     parts = []
     for at in range(0, max(0, len(data) - LENGTH + 1), BLOCK):
         block = data[at : at + BLOCK + LENGTH - 1]
@@ -67,29 +70,62 @@ def anchor_runs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
         if span < PLACES:
             key = np.minimum(key[: len(key) - (PLACES - span)], key[PLACES - span :])
         anchor = (key & np.uint64(0xFFFFFF)).astype(np.int64)
-        starts = np.concatenate([[0], np.nonzero(np.diff(anchor))[0] + 1])
+        new = np.concatenate([[True], anchor[1:] != anchor[:-1]])
+        if ends is not None:
+            inside = np.ones(len(anchor) + LENGTH - 1, bool)
+            inside[(ends[:, None] - np.arange(1, LENGTH)).ravel()] = False
+            inside = inside[: len(anchor)]
+            new |= np.concatenate([[False], inside[1:] != inside[:-1]])
+        starts = np.nonzero(new)[0]
         counts = np.diff(np.concatenate([starts, [len(anchor)]]))
+        if ends is not None:
+            starts, counts = starts[inside[starts]], counts[inside[starts]]
         parts.append((hashes[anchor[starts]], starts + at, counts, anchor[starts] - starts))
     if not parts:
         return (np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 3)
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
+def batch_runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """What ``anchor_runs`` gives, and each run's text, for texts of LENGTH bytes and more: short ones share the passes."""
+    out, held, size = [], [], 0
+
+    def close() -> None:
+        nonlocal held, size
+        if len(held) == 1:
+            runs = anchor_runs(texts[held[0]])
+            out.append((*runs, np.full(len(runs[0]), held[0], np.int64)))
+        elif held:
+            lengths = np.array([len(texts[i]) for i in held])
+            ends = np.cumsum(lengths)
+            hashes, starts, counts, shifts = anchor_runs(b"".join(texts[i] for i in held), ends)
+            text = np.searchsorted(ends, starts, "right")
+            out.append((hashes, starts - (ends - lengths)[text], counts, shifts, np.array(held)[text]))
+        held, size = [], 0
+
+    for i, t in enumerate(texts):
+        if size + len(t) > BLOCK:
+            close()
+        held.append(i)
+        size += len(t)
+    close()
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def _rows(df: DataFrame, places: bool) -> DataFrame:
     """A row for each run: (anchor, doc) or, with ``places``, (anchor, row, place)."""
     bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [anchor_runs(t.encode()) for t in batch.column(1).to_pylist()]
-            if not found:
+            texts = [t.encode() for t in batch.column(1).to_pylist()]
+            if not texts:
                 continue
-            anchors = np.concatenate([f[0] for f in found]).view(np.int64)
-            owner = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(f[0]) for f in found])
+            hashes, starts, counts, shifts, text = batch_runs(texts)
+            anchors, owner = hashes.view(np.int64), batch.column(0).to_numpy(zero_copy_only=False)[text]
             columns, names = [pa.array(anchors), pa.array(owner)], ["anchor", "owner"]
             if places:
-                packed = np.concatenate([f[1] << 10 | f[2] << 5 | f[3] for f in found])
-                columns, names = [*columns, pa.array(packed)], [*names, "place"]
+                columns, names = [*columns, pa.array(starts << 10 | counts << 5 | shifts)], [*names, "place"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     source = df.select("_row" if places else "_doc", "_text")
@@ -98,7 +134,7 @@ def _rows(df: DataFrame, places: bool) -> DataFrame:
 
 def _neighbourhoods(docs: DataFrame, places: DataFrame) -> DataFrame:
     """(anchor, doc, row, start, shift, body): the bytes around each shared anchor."""
-    held = places.groupBy("owner").agg(F.collect_set(F.struct("place", "anchor")).alias("runs"))
+    held = places.groupBy("owner").agg(F.collect_list(F.struct("place", "anchor")).alias("runs"))
     joined = docs.join(held, F.col("_row") == F.col("owner")).select("_doc", "_row", "_text", "runs")
     bounded_batches(docs.sparkSession)
 
@@ -116,6 +152,18 @@ def _neighbourhoods(docs: DataFrame, places: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "anchor long, doc long, row long, start long, shift int, body binary")
 
 
+def _comparable(bodies: list[tuple]) -> list[bool]:
+    """Which (anchor, ..., shift, body, ...) of a bin can share a string with another: half of what a string has beside
+    its anchor lies on one side of it, so that many bytes next to the anchor must be shared there."""
+    half = (LENGTH - ANCHOR) // 2
+    sides = [((x[0], 0, x[4][x[3] - half : x[3]]) if x[3] >= half else None, (x[0], 1, x[4][x[3] + ANCHOR : x[3] + ANCHOR + half])) for x in bodies]
+    seen: dict[tuple, int] = {}
+    for pair in sides:
+        for side in pair:
+            seen[side] = seen.get(side, 0) + 1
+    return [bool((a and seen[a] > 1) or seen[b] > 1) for a, b in sides]
+
+
 def first_documents(bodies: list[tuple[bytes, int, int]]) -> list[list[int]]:
     """For each (bytes, anchor's offset, smallest document): of each of its strings the smallest document in the bin."""
     symbols: list[int] = []
@@ -174,13 +222,12 @@ def _search(bodies: DataFrame) -> DataFrame:
         size, last = 0, None
 
         def work() -> Iterator[pa.RecordBatch]:
-            alone = {}
-            for x in held:
-                alone[x[0]] = alone.get(x[0], 0) + 1
-            compared = [x for x in held if alone[x[0]] > 1]
+            compared, alone = [], []
+            for x, meets in zip(held, _comparable(held), strict=True):
+                (compared if meets else alone).append(x)
             found = first_documents([(x[4], x[3], x[5]) for x in compared]) if compared else []
-            found += [[x[5]] * (len(x[4]) - LENGTH + 1) for x in held if alone[x[0]] == 1]
-            every = compared + [x for x in held if alone[x[0]] == 1]
+            found += [[x[5]] * (len(x[4]) - LENGTH + 1) for x in alone]
+            every = compared + alone
             out = [(x[1], x[2], *r) for x, least in zip(every, found, strict=True) for r in _runs_of(least, x[6])]
             if out:
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
@@ -218,7 +265,8 @@ def spans(df: DataFrame, text: str = "text", keep: str = "doc_id") -> DataFrame:
     spark = df.sparkSession
     firsts = Written(_firsts(df, text, keep), "firsts")
     keyed = df.where(F.octet_length(text) >= LENGTH).select(F.col(keep).cast("long").alias("_doc"), F.col(text).cast("string").alias("_text"), *text_key(F.col(text)))
-    once = keyed.join(firsts.df, ["_k1", "_k2"]).where("_doc = _first").dropDuplicates(["_k1", "_k2"])
+    # The comparison is no equality that would become a third join key: the texts move once, for join and distinct.
+    once = keyed.join(firsts.df, ["_k1", "_k2"]).where("(_doc ^ _first) = 0").dropDuplicates(["_k1", "_k2"])
     unique = Written(once.select(F.monotonically_increasing_id().alias("_row"), "_doc", "_k1", "_k2", "_text"), "unique")
     docs = unique.df
     release(spark)

@@ -73,3 +73,15 @@ def test_odd(odd, none):
     assert substrings.dedup(none).count() == 0
     kept = {r["doc_id"]: r["kept"] for r in substrings.dedup(odd).collect()}
     assert kept[2] == b"" and kept[8] in (b"x", b"y y")
+
+
+def test_joined_texts_have_their_own_runs(monkeypatch):
+    rng = random.Random(2)
+    texts = [bytes(rng.choice(b"abc") for _ in range(rng.choice([50, 51, 90, 400]))) for _ in range(30)]
+    for block in (1 << 22, 300):
+        monkeypatch.setattr(substrings, "BLOCK", block)
+        got = sorted(zip(*[c.tolist() for c in substrings.batch_runs(texts)], strict=True), key=lambda r: (r[4], r[1]))
+        monkeypatch.setattr(substrings, "BLOCK", 1 << 22)
+        want = [(*r, i) for i, t in enumerate(texts) for r in zip(*[c.tolist() for c in substrings.anchor_runs(t)], strict=True)]
+        covered = lambda rows: {(i, s + k, h) for h, s, n, _, i in rows for k in range(n)}
+        assert covered(got) == covered(want)
