@@ -25,12 +25,12 @@ from .common import Written, ship_code
 
 #: Vectors of a block, and queries of a block, at most.
 BLOCK = 8192
-QUERIES = 1024
+QUERIES = 512
 PROJECTIONS = 64
 THRESHOLD = 0.6
 VERIFIED = 0.36
-START = 0.7
-GROWTH = 1.12
+START = 0.95
+GROWTH = 1.06
 SEED = 5
 
 
@@ -45,31 +45,43 @@ class Index:
         self.order = np.argsort(projected, axis=1, kind="stable").astype(np.int32)
         self.sorted = np.take_along_axis(projected, self.order, axis=1)
 
-    def search(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ids and inner products of the k best verified vectors but the query's own, best first, ties to the smaller id."""
-        n, query = len(self.ids), query.astype(np.float64)
-        centre = self.directions[:, :-1] @ (query * (self.norm / np.sqrt((query**2).sum())))
+    def search(self, own: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the ids and inner products of the k best verified vectors but its own, best first, ties to the
+        smaller id. All queries widen their windows in step, so that window ends are looked up for all of them at once."""
+        n, queries = len(self.ids), queries.astype(np.float64)
+        centres = (queries * (self.norm / np.sqrt((queries**2).sum(axis=1)))[:, None]) @ self.directions[:, :-1].T
         need, want = int(np.ceil(THRESHOLD * PROJECTIONS)), min(n, int(np.ceil(VERIFIED * n)) + 10 * k)
-        counts, half = np.zeros(n, np.int64), START * self.norm
+        counts = np.zeros((len(queries), n), np.int16)
+        done: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(queries)
+        waiting, half = np.arange(len(queries)), START * self.norm
         low = high = None
-        while True:
-            to_low = [np.searchsorted(s, c - half, "left") for s, c in zip(self.sorted, centre, strict=True)]
-            to_high = [np.searchsorted(s, c + half, "right") for s, c in zip(self.sorted, centre, strict=True)]
-            if low is None:
-                new = [o[a:b] for o, a, b in zip(self.order, to_low, to_high, strict=True)]
-            else:
-                new = [o[a:b] for o, a, b in zip(self.order, to_low, low, strict=True)] + [o[a:b] for o, a, b in zip(self.order, high, to_high, strict=True)]
-            counts += np.bincount(np.concatenate(new), minlength=n)
-            low, high = to_low, to_high
-            found = np.nonzero(counts >= need)[0]
-            if len(found) >= want or len(found) == n:
-                break
-            half *= GROWTH
+        while len(waiting):
+            centre = centres[waiting]
+            to_low = np.stack([np.searchsorted(s, c - half, "left") for s, c in zip(self.sorted, centre.T, strict=True)], axis=1)
+            to_high = np.stack([np.searchsorted(s, c + half, "right") for s, c in zip(self.sorted, centre.T, strict=True)], axis=1)
+            still = np.ones(len(waiting), bool)
+            for i, q in enumerate(waiting.tolist()):
+                below, above = to_low[i].tolist(), to_high[i].tolist()
+                if low is None:
+                    new = [o[a:b] for o, a, b in zip(self.order, below, above, strict=True)]
+                else:
+                    new = [o[a:b] for o, a, b in zip(self.order, below, low[i].tolist(), strict=True)] + [o[a:b] for o, a, b in zip(self.order, high[i].tolist(), above, strict=True)]
+                counts[q] += np.bincount(np.concatenate(new), minlength=n).astype(np.int16)
+                found = np.nonzero(counts[q] >= need)[0]
+                if len(found) >= want or len(found) == n:
+                    done[q], still[i] = self._verify(found, int(own[q]), queries[q], k), False
+            waiting, low, high, half = waiting[still], to_low[still], to_high[still], half * GROWTH
+        return done
+
+    def _verify(self, found: np.ndarray, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best of the candidates. A fast product drops those that are surely worse; the rest is scored one row at a
+        time, so that equal vectors have equal scores to the bit."""
         found = found[self.ids[found] != own]
-        scores = np.einsum("ij,j->i", self.vectors[found], query)
         if len(found) > k:
-            edge = np.partition(scores, len(scores) - k)[len(scores) - k]
-            found, scores = found[scores >= edge], scores[scores >= edge]
+            rough = self.vectors[found] @ query
+            edge = np.partition(rough, len(rough) - k)[len(rough) - k]
+            found = found[rough >= edge - 1e-9 * self.norm * np.sqrt((query**2).sum())]
+        scores = np.einsum("ij,j->i", self.vectors[found], query)
         best = np.lexsort((self.ids[found], -scores))[:k]
         return self.ids[found][best], scores[best]
 
@@ -129,7 +141,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, vector: str = "embedd
                 if block != last:
                     last, index = block, Index(np.frombuffer(ids, "<i8"), np.frombuffer(vectors, "<f8").reshape(-1, dim))
                 own = np.frombuffer(q_ids, "<i8")
-                found = [index.search(int(i), q, k) for i, q in zip(own, np.frombuffer(q_vectors, "<f8").reshape(-1, dim), strict=True)]
+                found = index.search(own, np.frombuffer(q_vectors, "<f8").reshape(-1, dim), k)
                 sizes = [len(f[0]) for f in found]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, sizes)), pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]))], names=["query_id", "vec_id", "score"])
 
