@@ -144,6 +144,9 @@ LOOSE_BITS = 4
 FARTHEST = 64
 SEGMENTS = WORDS * 64 // SEGMENT_BITS
 
+#: Rounds of leaders before all that is left of a key is compared: they save comparisons, none is left out.
+LEADERS = 4
+
 
 def wide_fingerprint(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of distinct shingles: 256 bits as eight segments, and for each segment the four bits nearest to one half.
@@ -179,8 +182,9 @@ def _signatures(df: DataFrame, shingle: int, text: str, keep: str) -> DataFrame:
     return rows.where("seg is not null").groupBy("_k1", "_k2").agg(F.min("_id").alias("_id"), F.any_value("seg").alias("seg"), F.any_value("loose").alias("loose")).select("_k1", "_k2", F.coalesce("_id", "_k1").alias("node"), "seg", "loose")
 
 
-def _candidates(signatures: DataFrame) -> DataFrame:
-    """(a, b), a < b: texts with a ball's member in common, each against the smallest and the largest of the member."""
+def _shared(signatures: DataFrame) -> DataFrame:
+    """Each member of each key, a ball's member of a segment, that several texts have: ``key``, ``node``, the key's
+    smallest and largest node (``lo``, ``hi``) and its number of nodes ``n``."""
     flips = 1 << LOOSE_BITS
     j = F.col("j")
     segment = (j / flips).cast("int")
@@ -188,16 +192,71 @@ def _candidates(signatures: DataFrame) -> DataFrame:
     for bit in range(LOOSE_BITS):
         value = value.bitwiseXOR(F.when(F.getbit(j.cast("long"), F.lit(bit)) == 1, F.get("loose", segment * LOOSE_BITS + bit)).otherwise(F.lit(0)))
     keyed = signatures.select("node", "seg", "loose", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS * flips - 1))).alias("j")).select("node", F.xxhash64(segment, value).alias("key"))
-    ends = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
-    met = keyed.join(ends, "key").select("node", F.explode(F.array("lo", "hi")).alias("other")).where("node != other")
+    ends = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    return keyed.join(ends, "key").select("key", "node", "lo", "hi", "n")
+
+
+def _pairs(met: DataFrame) -> DataFrame:
     return met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
+def _open(crowded: DataFrame, found: DataFrame) -> DataFrame:
+    """The members of the keys whose members aren't all joined yet, with their ``label``s and the key's commonest, ``top``.
+
+    ``most`` is how many members have that one: ``n * (n - most)`` bounds the comparisons that are left.
+    """
+    labels = components(found)
+    of = crowded.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    each = of.groupBy("key", "label").agg(F.count("*").alias("c"))
+    keys = each.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("top"), F.max("c").alias("most"), F.count("*").alias("parts")).where("parts > 1")
+    return of.join(keys.select("key", "top", "most"), "key")
+
+
+def _led(members: DataFrame, found: DataFrame) -> DataFrame:
+    """One more leader a key against the members of other labels: of those that weren't, the one of most pairs found."""
+    degrees = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    ready = members.where("node != lo and node != hi").join(degrees, "node", "left")
+    leaders = ready.groupBy("key").agg(F.max_by(F.struct(F.col("node").alias("other"), F.col("label").alias("its")), F.struct(F.coalesce("degree", F.lit(0)), F.xxhash64("node"))).alias("leader")).select("key", "leader.*")
+    return _pairs(members.join(leaders, "key").where("label != its"))
+
+
+def _rest(members: DataFrame) -> DataFrame:
+    """Every pair of a key whose labels differ: the members outside its commonest label against all others."""
+    rest = members.where("label != top").select("key", F.col("node").alias("other"), F.col("label").alias("its"))
+    return _pairs(members.join(rest, "key").where("label != its"))
+
+
 def similar_pairs(df: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text", keep: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """The distinct texts' signatures, and pairs (a, b) of nodes verified: Jaccard similarity of their sets of shingles."""
+    """The distinct texts' signatures, and pairs (a, b) of nodes verified: Jaccard similarity of their sets of shingles.
+
+    The pairs join what all similar pairs with a key in common join. The ends of each key are compared with its members
+    first. Keys whose members that leaves apart get further leaders while many comparisons are left; then all pairs of
+    a key that are still apart are compared, however many they are.
+    """
     signatures = Written(_signatures(df, shingle, text, keep), "signatures").df
-    pairs = Written(_candidates(signatures), "candidates").df
+    shared = Written(_shared(signatures), "shared").df
+    tried = Written(_pairs(shared.select("node", F.explode(F.array("lo", "hi")).alias("other")).where("node != other")), "candidates").df
     release(df.sparkSession)
+    found = _verified(df, signatures, tried, shingle, similarity, text)
+    # The ends of three or fewer make all their pairs.
+    crowded = shared.where("n > 3")
+    for leaders in range(LEADERS, -1, -1):
+        members = Written(_open(crowded, found), "open").df
+        rows, left = members.agg(F.count("*"), F.sum(F.col("n") - F.col("most"))).first()
+        if not rows:
+            break
+        last = not leaders or left <= BUCKET * rows
+        fresh = Written((_rest(members) if last else _led(members, found)).join(tried, ["a", "b"], "left_anti"), "candidates").df
+        more = _verified(df, signatures, fresh, shingle, similarity, text)
+        found = found.unionByName(more)
+        if last:
+            break
+        tried = tried.unionByName(fresh)
+    return signatures, found
+
+
+def _verified(df: DataFrame, signatures: DataFrame, pairs: DataFrame, shingle: int, similarity: float, text: str) -> DataFrame:
+    """Those of the pairs whose texts are so similar."""
     of = lambda name: signatures.select(F.col("node").alias(name), F.col("seg").alias(f"seg_{name}"))
     distance = F.aggregate(F.zip_with("seg_a", "seg_b", lambda x, y: F.bit_count(x.bitwiseXOR(y).cast("long").bitwiseAND(F.lit(LOW_SEGMENT)))), F.lit(0), lambda s, x: s + x)
     near = Written(pairs.join(of("a"), "a").join(of("b"), "b").where(distance <= FARTHEST).select("a", "b"), "near").df
@@ -217,7 +276,7 @@ def similar_pairs(df: DataFrame, shingle: int = 5, similarity: float = 0.8, text
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
     verified = near.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
-    return signatures, Written(verified, "similar").df
+    return Written(verified, "similar").df
 
 
 def one_of_each(df: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text", keep: str = "doc_id") -> DataFrame:

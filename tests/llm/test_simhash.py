@@ -107,3 +107,47 @@ def test_similar_pairs(spark, some, texts):
     want = {i for i, t in [*enumerate(base), *copies] if labels[i] == i and equal[t] == i}
     assert {r["doc_id"] for r in simhash.one_of_each(df).collect()} == want
     assert simhash.one_of_each(df.select("*", F.lit(1).alias("_first"), F.lit(1).alias("_all"))).columns == ["doc_id", "text", "_first", "_all"]
+
+
+def keys(text):
+    """The members of the balls around each segment."""
+    seg, loose = simhash.wide_fingerprint(simhash.np.unique(simhash.shingle_hashes(text, 5)))
+    out = set()
+    for i, value in enumerate(seg.tolist()):
+        bits = loose.tolist()[4 * i : 4 * i + 4]
+        for j in range(16):
+            flipped = value
+            for n, bit in enumerate(bits):
+                flipped ^= bit if j >> n & 1 else 0
+            out.add((i, flipped & 0xFFFFFFFF))
+    return out
+
+
+def star_and_drift():
+    """Variants of one text, each similar to it and not to each other, and versions that drift."""
+    rng = random.Random(11)
+    base = [f"w{rng.getrandbits(30)}" for _ in range(204)]
+    made = {5_000: " ".join(base)}
+    for n in range(300):
+        words = list(base)
+        for at in rng.sample(range(5, 199, 6), 4):
+            words[at] = f"v{n}x{at}"
+        made[n + (0 if n < 150 else 9_000)] = " ".join(words)
+    drift = [f"d{rng.getrandbits(30)}" for _ in range(204)]
+    for n in range(80):
+        drift[(6 * n + 5) % 204] = f"e{n}"
+        drift[(6 * n + 95) % 204] = f"f{n}"
+        made[20_000 + n * 37 % 80] = " ".join(drift)
+    return made
+
+
+@pytest.mark.parametrize("leaders", [4, 0])
+def test_all_members_of_a_key_are_compared(spark, monkeypatch, leaders):
+    """Whatever the ends of a key are, all similar pairs that share one are joined."""
+    monkeypatch.setattr(simhash, "LEADERS", leaders)
+    made = star_and_drift()
+    held, met = {i: shingles(t) for i, t in made.items()}, {i: keys(t) for i, t in made.items()}
+    similar = lambda a, b: not met[a].isdisjoint(met[b]) and len(held[a] & held[b]) >= 0.8 * len(held[a] | held[b])
+    want = {i for i, label in groups(sorted(made), similar).items() if i == label}
+    df = spark.createDataFrame(list(made.items()), "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.one_of_each(df).collect()} == want
