@@ -1,11 +1,13 @@
 """Nearest neighbours by inner product, by collision-counting hashing (the query-aware form of LSH).
 
-Vectors are indexed in blocks. A block adds one coordinate to its vectors, so that all have its largest norm and the
-largest inner product is the smallest distance. It keeps, for each of ``PROJECTIONS`` random directions, its vectors
+Vectors are indexed in blocks, and in a block by ranges of norms. A range adds one coordinate to its vectors, so that all
+have its largest norm and the largest inner product is the smallest distance; norms that differ much would make most of
+that coordinate and little of the vectors. It keeps, for each of ``PROJECTIONS`` random directions, its vectors
 sorted by projection. A query, scaled to the same norm, opens a window around its own projection in every sorted array;
 virtual rehashing widens all windows by ``GROWTH`` at a time, and only the newly covered stretches are counted. Vectors
-with at least ``THRESHOLD`` of the projections colliding are verified by their exact inner product; a block is done
-once ``VERIFIED`` of its vectors and ten times k have been.
+with at least ``THRESHOLD`` of the projections colliding are verified by their exact inner product; a range is done
+once ``VERIFIED`` of its vectors and ten times k have been. Ranges too small for that are verified whole;
+those whose norms are too small for a query's k best are left out.
 
 Queries meet blocks as blocks of queries, by an equality join on the block's number; each pair of blocks gives at most
 ``k`` rows a query. Every vector is indexed, and no bucket has a cap.
@@ -32,6 +34,36 @@ VERIFIED = 0.36
 START = 0.95
 GROWTH = 1.06
 SEED = 5
+#: The smallest norm of a range is at least this share of its largest.
+NORMS = 0.9
+
+
+class Block:
+    """The indexes of a block's ranges of norms, largest first."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        norms = np.sqrt((vectors**2).sum(axis=1))
+        order = np.argsort(-norms, kind="stable")
+        at, self.ranges = 0, []
+        while at < len(order):
+            end = int(np.searchsorted(-norms[order], -NORMS * norms[order[at]], "right"))
+            self.ranges.append(Index(ids[order[at:end]], vectors[order[at:end]]))
+            at = end
+
+    def search(self, own: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """As ``Index.search``, of all ranges. A query leaves out those that cannot have a product as large as its k-th."""
+        best = [(np.empty(0, np.int64), np.empty(0))] * len(own)
+        lengths = np.sqrt((queries**2).sum(axis=1))
+        for index in self.ranges:
+            reach = index.norm * lengths * (1 + 1e-9)
+            asked = [q for q, (ids, scores) in enumerate(best) if len(ids) < k or scores[-1] <= reach[q]]
+            if not asked:
+                break
+            for q, (ids, scores) in zip(asked, index.search(own[asked], queries[asked], k), strict=True):
+                ids, scores = np.concatenate([best[q][0], ids]), np.concatenate([best[q][1], scores])
+                first = np.lexsort((ids, -scores))[:k]
+                best[q] = ids[first], scores[first]
+        return best
 
 
 class Index:
@@ -51,6 +83,8 @@ class Index:
         n, queries = len(self.ids), queries.astype(np.float64)
         centres = (queries * (self.norm / np.sqrt((queries**2).sum(axis=1)))[:, None]) @ self.directions[:, :-1].T
         need, want = int(np.ceil(THRESHOLD * PROJECTIONS)), min(n, int(np.ceil(VERIFIED * n)) + 10 * k)
+        if want == n:
+            return [self._verify(np.arange(n), int(i), q, k) for i, q in zip(own, queries, strict=True)]
         counts = np.zeros((len(queries), n), np.int16)
         done: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(queries)
         waiting, half = np.arange(len(queries)), START * self.norm
@@ -139,7 +173,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, vector: str = "embedd
         for batch in batches:
             for block, dim, ids, vectors, q_ids, q_vectors in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if block != last:
-                    last, index = block, Index(np.frombuffer(ids, "<i8"), np.frombuffer(vectors, "<f8").reshape(-1, dim))
+                    last, index = block, Block(np.frombuffer(ids, "<i8"), np.frombuffer(vectors, "<f8").reshape(-1, dim))
                 own = np.frombuffer(q_ids, "<i8")
                 found = index.search(own, np.frombuffer(q_vectors, "<f8").reshape(-1, dim), k)
                 sizes = [len(f[0]) for f in found]

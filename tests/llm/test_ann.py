@@ -50,3 +50,18 @@ def test_rows_that_take_no_part(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 as block", "1 as _v", "1 as dim")
     assert [tuple(r) for r in ann.search(df, df.where("vec_id % 20 = 0")).collect()] == [(0, 1, 1, 0.5)]
     assert ann.search(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_recall_of_skewed_norms(spark):
+    rng = np.random.default_rng(3)
+    unit = rng.standard_normal((2000, 64))
+    unit /= np.sqrt((unit**2).sum(axis=1))[:, None]
+    one = np.ones((2000, 1))
+    one[17] = 3
+    for norms in (one, np.exp(0.5 * rng.standard_normal((2000, 1)))):
+        rows = list(enumerate((unit * norms).tolist()))
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+        want, got = exact(rows), {}
+        for r in ann.search(df, df.where("vec_id % 20 = 0")).collect():
+            got.setdefault(r["query_id"], set()).add(r["vec_id"])
+        assert sum(len(got[q] & {x for x, _ in want[q]}) for q in want) >= 0.93 * 20 * len(want)
