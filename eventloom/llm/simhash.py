@@ -168,7 +168,8 @@ def wide_fingerprint(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signatures(df: DataFrame, shingle: int, text: str, keep: str) -> DataFrame:
-    """A row for each distinct text with a word: ``_k1``, ``_k2``, ``node`` (smallest id), ``seg``, ``loose``."""
+    """A row for each distinct text with a word: ``_k1``, ``_k2``, ``_id`` (smallest), ``seg``, ``loose``, and ``node``,
+    a number of its own (ids may be repeated): to be written before it is used."""
 
     def make() -> Callable:
         def work(texts: list) -> dict:
@@ -179,7 +180,7 @@ def _signatures(df: DataFrame, shingle: int, text: str, keep: str) -> DataFrame:
 
     keyed = df.select(F.col(keep).cast("long").alias("_id"), F.col(text).alias("_t"), *text_key(F.col(text)))
     rows = map_texts(keyed, make, "_id long, _k1 long, _k2 long, seg array<int>, loose array<int>", "_t", {"_id": "_id", "_k1": "_k1", "_k2": "_k2"})
-    return rows.where("seg is not null").groupBy("_k1", "_k2").agg(F.min("_id").alias("_id"), F.any_value("seg").alias("seg"), F.any_value("loose").alias("loose")).select("_k1", "_k2", F.coalesce("_id", "_k1").alias("node"), "seg", "loose")
+    return rows.where("seg is not null").groupBy("_k1", "_k2").agg(F.min("_id").alias("_id"), F.any_value("seg").alias("seg"), F.any_value("loose").alias("loose")).withColumn("node", F.monotonically_increasing_id())
 
 
 def _shared(signatures: DataFrame) -> DataFrame:
@@ -227,6 +228,14 @@ def _rest(members: DataFrame) -> DataFrame:
 
 
 def similar_pairs(df: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text", keep: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """The distinct texts' signatures, and pairs (a, b), a <= b, of their smallest ids whose texts are similar."""
+    signatures, pairs = _similar_nodes(df, shingle, similarity, text, keep)
+    of = lambda name: signatures.select(F.col("node").alias(name), F.col("_id").alias(f"id_{name}"))
+    ids = pairs.join(of("a"), "a").join(of("b"), "b")
+    return signatures, ids.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
+
+
+def _similar_nodes(df: DataFrame, shingle: int, similarity: float, text: str, keep: str) -> tuple[DataFrame, DataFrame]:
     """The distinct texts' signatures, and pairs (a, b) of nodes verified: Jaccard similarity of their sets of shingles.
 
     The pairs join what all similar pairs with a key in common join. The ends of each key are compared with its members
@@ -286,10 +295,14 @@ def one_of_each(df: DataFrame, shingle: int = 5, similarity: float = 0.8, text:
     Candidates come from wide SimHash fingerprints by multi-index hashing, with balls over each segment's least certain
     bits; the shingles' Jaccard similarity is then verified, so no pair below it is joined (of pairs just above it some
     have no ball in common and are missed; the README has figures). Texts without a word have equal texts as their only
-    duplicates; null counts as empty. Of rows with the same id and text one stays.
+    duplicates; null counts as empty. Of rows with the same id and text one stays; one id's different texts are told
+    apart, and rows without an id come last.
     """
-    signatures, pairs = similar_pairs(df, shingle, similarity, text, keep)
-    labels = components(pairs).where("node != label").select("node")
+    signatures, pairs = _similar_nodes(df, shingle, similarity, text, keep)
+    order = F.struct(F.col("_id").isNull(), "_id", "_k1", "_k2")
+    grouped = Written(components(pairs).join(signatures.select("node", "_k1", "_k2", "_id"), "node"), "groups").df
+    best = grouped.groupBy("label").agg(F.min_by("node", order).alias("best"))
+    labels = grouped.join(best, "label").where("node != best").select("node")
     release(df.sparkSession)
     keyed = df.select(packed(df), F.col(keep).cast("long").alias("_id"), *text_key(F.col(text)))
     first = keyed.groupBy("_k1", "_k2").agg(F.min("_id").alias("_first"))

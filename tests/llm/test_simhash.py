@@ -151,3 +151,13 @@ def test_all_members_of_a_key_are_compared(spark, monkeypatch, leaders):
     want = {i for i, label in groups(sorted(made), similar).items() if i == label}
     df = spark.createDataFrame(list(made.items()), "doc_id long, text string")
     assert {r["doc_id"] for r in simhash.one_of_each(df).collect()} == want
+
+
+def test_one_id_of_two_texts(spark):
+    """A text that shares its id with a near copy isn't taken for it."""
+    rng = random.Random(5)
+    prose = lambda: " ".join(f"w{rng.getrandbits(30)}" for _ in range(200))
+    base, other, third = prose(), prose(), prose()
+    rows = [(1, base), (2, base + " tail"), (2, other), (3, third), (3, third + " end"), (None, third + " more")]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(kept) == 3 and {(r["doc_id"], r["text"][:40]) for r in kept} == {(i, t[:40]) for i, t in [(1, base), (2, other), (3, third)]}
