@@ -154,13 +154,14 @@ def report(df: DataFrame, text: str = "text", keep: str = "doc_id", rules: tuple
 
 
 def mask_spans(text: Column, found: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    """The text with each span replaced by its kind in brackets; of overlapping spans the first counts."""
+    """The text with each span replaced by its kind in brackets; of overlapping spans the first
+    gives the kind, and all that any of them covers goes."""
     names = F.array(*[F.lit(r.kind) for r in rules])
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         put = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(F.get(names, s["kind"])), F.lit("]"))
-        return F.when(s["start"] >= acc["at"], F.struct(s["stop"].alias("at"), put.alias("out"))).otherwise(acc)
+        return F.when(s["start"] >= acc["at"], F.struct(s["stop"].alias("at"), put.alias("out"))).otherwise(F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), acc["out"].alias("out")))
 
     done = F.aggregate(found, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
     return F.when(text.isNull() | (F.size(found) == 0), text).otherwise(done)

@@ -56,6 +56,13 @@ def test_more_kinds_and_masks(spark):
     assert masked == "[GITHUB] x [PEM] é [SLACK] [ASSIGN]"
 
 
+def test_masks_cover_overlapping_spans(spark):
+    texts = ["x AKIA" + "ABCDEFGH" * 2 + "0" + "a1" * 20 + " y", "token=abc_ghp_" + "Zq" * 18 + "-" + "0f" * 16 + " z", "AKIA" + "ABCDEFGH" * 3 + "\n"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    masked = {r["doc_id"]: r["t"] for r in secrets.scan(df, keep={"doc_id": "doc_id", "text": "text"}).select("doc_id", secrets.mask_spans(F.col("text"), F.col("found")).alias("t")).collect()}
+    assert masked == {0: "x [ACCESS] y", 1: "[ASSIGN] z", 2: "[ACCESS]\n"}
+
+
 def test_queries_from_rules():
     query = secrets.Query()
     assert [r.kind for r in query.full] == ["hex"] and {"pas", "aki", "kia"} <= set(query.names)
