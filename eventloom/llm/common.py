@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
-import time
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
@@ -25,7 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see, as a URI.
 
     It is what the session names in ``spark.checkpoint.dir``, else the context's checkpoint directory. Where neither
-    is set (tests on one machine) a temporary folder is made and set.
+    is set a temporary folder is made and set if all tasks run in this process; a cluster has to name one.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -34,6 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     at = spark.sparkContext.getCheckpointDir()
     if at is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         made = _own.setdefault("dir", f"file://{tempfile.mkdtemp(prefix='eventloom-')}")
         spark.sparkContext.setCheckpointDir(made)
         at = spark.sparkContext.getCheckpointDir()
@@ -50,13 +51,26 @@ def delete(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+#: Spark deletes the shuffle files of a query that ran under this setting when it ends, not when the driver happens to
+#: collect garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Written:
-    """A table written to the shared folder: its lineage ends there, so a lost executor costs a read, no recomputation."""
+    """A table written to the shared folder: its lineage ends there, so a lost executor costs a read, no recomputation.
+
+    What the write shuffled is deleted at its end.
+    """
 
     def __init__(self, df: DataFrame, name: str) -> None:
         self.spark = df.sparkSession
         self.path = fresh_path(self.spark, name)
-        df.write.parquet(self.path)
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(self.path)
+        finally:
+            self.spark.conf.set(CLEANUP, before) if before is not None else self.spark.conf.unset(CLEANUP)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
@@ -116,12 +130,8 @@ def text_key(text: Column) -> list[Column]:
     return [F.xxhash64(held).alias("_k1"), F.xxhash64(F.lit(1), held).alias("_k2")]
 
 
-def release(spark: SparkSession) -> None:
-    """Lets go of shuffle files that no live frame needs: Spark drops them when the driver's garbage is collected.
-
-    Twice, as what the first round frees may have held others; the pause is for the cleaner's own thread.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+def integer_id(df: DataFrame, keep: str) -> None:
+    """Operators that compare ids or number by them take integers; other kinds are refused, not cast to null."""
+    kind = df.schema[keep].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint", "void"):
+        raise TypeError(f"{keep} is {kind}; ids must be integers here")

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, bounded_batches, map_texts, packed, release, text_key
+from .common import Written, bounded_batches, map_texts, packed, text_key
 from .components import components
 
 SEED = 42
@@ -245,7 +245,6 @@ def _similar_nodes(df: DataFrame, shingle: int, similarity: float, text: str, ke
     signatures = Written(_signatures(df, shingle, text, keep), "signatures").df
     shared = Written(_shared(signatures), "shared").df
     tried = Written(_pairs(shared.select("node", F.explode(F.array("lo", "hi")).alias("other")).where("node != other")), "candidates").df
-    release(df.sparkSession)
     found = _verified(df, signatures, tried, shingle, similarity, text)
     # The ends of three or fewer make all their pairs.
     crowded = shared.where("n > 3")
@@ -303,7 +302,6 @@ def one_of_each(df: DataFrame, shingle: int = 5, similarity: float = 0.8, text:
     grouped = Written(components(pairs).join(signatures.select("node", "_k1", "_k2", "_id"), "node"), "groups").df
     best = grouped.groupBy("label").agg(F.min_by("node", order).alias("best"))
     labels = grouped.join(best, "label").where("node != best").select("node")
-    release(df.sparkSession)
     keyed = df.select(packed(df), F.col(keep).cast("long").alias("_id"), *text_key(F.col(text)))
     first = keyed.groupBy("_k1", "_k2").agg(F.min("_id").alias("_first"))
     gone = signatures.join(labels, "node", "left_semi").select("_k1", "_k2")

@@ -1,15 +1,18 @@
 """Exact removal of long byte strings that also start in an earlier document, by suffix arrays.
 
-Every 50-byte string is filed under its anchor: the 24-byte string inside it of least hash, leftmost first, so equal
-strings have equal anchors. Only anchors that two documents share matter; of those, the neighbourhoods (an anchor and
-the run of strings filed under it) are compared. Distinct neighbourhoods of one anchor meet in one bounded bin, where a
-suffix array (see ``suffixes``) brings equal strings together; the anchor itself stands as one symbol in it. Each string
-learns the smallest document it starts in, and each document removes the strings that a smaller one has.
-
-Nothing gathers a common anchor's documents: documents count through minima, and only distinct neighbourhoods reach a
-bin. An anchor with more of them than ``CROWD`` (a common phrase in ever new surroundings) is filed anew string by
-string instead, which is exact too. Documents are joined by a hash of id and text; texts themselves are the inputs of
-one join to cut out neighbourhoods and of one to remove the strings.
+Every 50-byte string is filed under an anchor inside it: the 16 bytes of least hash, leftmost first, and the 17 bytes on
+the side where the string reaches further. Equal strings have equal anchors, so only anchors that two documents share
+matter; of those, the neighbourhoods (an anchor and the run of strings filed under it) are compared. Distinct
+neighbourhoods of one anchor meet in a bin, where a suffix array (see ``suffixes``) brings equal strings together; the
+anchor stands as one symbol in it. An anchor with more of them than ``CROWD`` is lengthened on the side where each string
+reaches further, which deals its strings to more anchors, until every anchor's neighbourhoods fit a bin: at full length
+an anchor is its only string. Each string learns the smallest document it starts in, and each document removes the
+strings that a smaller one has.
+
+Texts are read once for their anchors. A task packs the anchors of some megabytes of text into a sorted blob for each
+bucket of hashes; an anchor that two documents of those megabytes share is known at once and sends one entry ahead, so a
+common passage costs a bucket one entry for each such stretch of text and not for each document. Copies of one text are
+one document of the smallest id.
 """
 
 from __future__ import annotations
@@ -19,159 +22,213 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, bounded_batches, release, text_key
+from .common import Written, bounded_batches, integer_id, text_key
 from .suffixes import suffix_array
 
 LENGTH = 50
-ANCHOR = 24
-PLACES = LENGTH - ANCHOR + 1
+GRAM = 16
+PLACES = LENGTH - GRAM + 1
+HALF = (LENGTH - GRAM) // 2
+ANCHOR = GRAM + HALF
 #: Distinct neighbourhoods of one anchor that a bin takes.
 CROWD = 512
 #: Bytes of neighbourhoods in a bin, about.
 BIN_BYTES = 1 << 16
-#: String starts in one pass over a text.
-BLOCK = 1 << 22
+#: String starts in one pass over texts, and the bytes of texts whose anchors are packed together.
+BLOCK = 1 << 19
+STRETCH = 16 << 20
+#: Bytes of text for each bucket of anchors, about.
+BUCKET_BYTES = 4 << 20
 
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD)]
 
 
-def _gram_hashes(data: bytes) -> np.ndarray:
-    """A 64-bit hash of each ANCHOR-byte string."""
-    n = len(data)
-    held = np.frombuffer(data + bytes(8), np.uint8)
-    words = np.ascontiguousarray(np.lib.stride_tricks.as_strided(held, (n, 8), (1, 1))).view("<u8").ravel()
-    m = n - ANCHOR + 1
-    out = words[:m] * _C[0]
-    for k, at in enumerate(range(8, ANCHOR, 8), 1):
+def _hashes(words: np.ndarray, at: np.ndarray | slice, steps: list[int]) -> np.ndarray:
+    """A 64-bit hash of the eight bytes at each of ``steps`` from each place; ``words`` has eight bytes for each place."""
+    take = lambda step: words[at.start + step : at.stop + step] if isinstance(at, slice) else words[at + step]
+    out = take(steps[0]) * _C[0]
+    for k, step in enumerate(steps[1:]):
         out ^= out >> np.uint64(29)
-        out = (out + words[at : at + m]) * _C[k]
+        out += take(step)
+        out *= _C[1 + k % 2]
     out ^= out >> np.uint64(32)
     out *= _C[3]
-    return out ^ (out >> np.uint64(29))
+    out ^= out >> np.uint64(29)
+    return out
 
 
-def anchor_runs(data: bytes, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first string's start, number of strings, and the anchor's offset in the first string, of each run.
+def anchor_runs(data: bytes, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of each run: the anchor's hash, the first string's start, the number of strings, the anchor's offset in the
+    first string, and whether it reaches to the left (1) or right (0) of its least 16 bytes.
 
-    ``ends``: where texts end that are joined to less than BLOCK bytes; strings do not cross them.
+    ``data`` is the texts joined, each of LENGTH bytes or more; ``ends`` is where they end. No string crosses an end.
     """
+    strings = max(0, len(data) - LENGTH + 1)
+    held = np.frombuffer(data + bytes(64), np.uint8)
+    inside = np.ones(len(data), bool)
+    inside[(ends[:, None] - np.arange(1, LENGTH)).ravel()] = False
     parts = []
-    for at in range(0, max(0, len(data) - LENGTH + 1), BLOCK):
-        block = data[at : at + BLOCK + LENGTH - 1]
-        hashes = _gram_hashes(block)
-        key = (hashes & np.uint64(0xFFFFFFFFFF000000)) | np.arange(len(hashes), dtype=np.uint64)
+    for at in range(0, strings, BLOCK):
+        size = min(BLOCK, strings - at)
+        grams = size + PLACES - 1
+        words = np.ascontiguousarray(np.lib.stride_tricks.as_strided(held[at:], (grams + ANCHOR - GRAM + 8, 8), (1, 1))).view("<u8").ravel()
+        key = (_hashes(words, slice(0, grams), [0, 8]) & np.uint64(0xFFFFFFFFFFF00000)) | np.arange(grams, dtype=np.uint64)
         span = 1
         while span * 2 <= PLACES:
             key = np.minimum(key[:-span], key[span:])
             span *= 2
         if span < PLACES:
             key = np.minimum(key[: len(key) - (PLACES - span)], key[PLACES - span :])
-        anchor = (key & np.uint64(0xFFFFFF)).astype(np.int64)
-        new = np.concatenate([[True], anchor[1:] != anchor[:-1]])
-        if ends is not None:
-            inside = np.ones(len(anchor) + LENGTH - 1, bool)
-            inside[(ends[:, None] - np.arange(1, LENGTH)).ravel()] = False
-            inside = inside[: len(anchor)]
-            new |= np.concatenate([[False], inside[1:] != inside[:-1]])
-        starts = np.nonzero(new)[0]
-        counts = np.diff(np.concatenate([starts, [len(anchor)]]))
-        if ends is not None:
-            starts, counts = starts[inside[starts]], counts[inside[starts]]
-        parts.append((hashes[anchor[starts]], starts + at, counts, anchor[starts] - starts))
+        least = (key & np.uint64(0xFFFFF)).astype(np.int64)
+        left = least - np.arange(size) >= HALF
+        here = inside[at : at + size]
+        new = np.ones(size, bool)
+        new[1:] = (least[1:] != least[:-1]) | (left[1:] != left[:-1]) | (here[1:] != here[:-1])
+        starts = np.flatnonzero(new)
+        counts = np.diff(starts, append=size)
+        whole = here[starts]
+        starts, counts = starts[whole], counts[whole]
+        side = left[starts]
+        anchor = least[starts] - np.where(side, HALF, 0)
+        parts.append((_hashes(words, anchor, [0, 8, 16, 24, ANCHOR - 8]) ^ side.astype(np.uint64), starts + at, counts, anchor - starts, side.astype(np.int64)))
     if not parts:
-        return (np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 3)
+        return (np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 4)
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def batch_runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """What ``anchor_runs`` gives, and each run's text, for texts of LENGTH bytes and more: short ones share the passes."""
-    out, held, size = [], [], 0
+def _place(starts: np.ndarray, counts: np.ndarray, shifts: np.ndarray, sides: np.ndarray) -> np.ndarray:
+    return starts << 11 | counts << 6 | shifts << 1 | sides
 
-    def close() -> None:
-        nonlocal held, size
-        if len(held) == 1:
-            runs = anchor_runs(texts[held[0]])
-            out.append((*runs, np.full(len(runs[0]), held[0], np.int64)))
-        elif held:
-            lengths = np.array([len(texts[i]) for i in held])
-            ends = np.cumsum(lengths)
-            hashes, starts, counts, shifts = anchor_runs(b"".join(texts[i] for i in held), ends)
-            text = np.searchsorted(ends, starts, "right")
-            out.append((hashes, starts - (ends - lengths)[text], counts, shifts, np.array(held)[text]))
-        held, size = [], 0
-
-    for i, t in enumerate(texts):
-        if size + len(t) > BLOCK:
-            close()
-        held.append(i)
-        size += len(t)
-    close()
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
+def _packed(*columns: np.ndarray) -> bytes:
+    """Columns byte by byte, as neighbouring values share their high bytes, compressed."""
+    return pa.compress(b"".join(c.view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns), "zstd", asbytes=True)
 
-def _rows(df: DataFrame, places: bool) -> DataFrame:
-    """A row for each run: (anchor, doc) or, with ``places``, (anchor, row, place)."""
-    bounded_batches(df.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t.encode() for t in batch.column(1).to_pylist()]
-            if not texts:
-                continue
-            hashes, starts, counts, shifts, text = batch_runs(texts)
-            anchors, owner = hashes.view(np.int64), batch.column(0).to_numpy(zero_copy_only=False)[text]
-            columns, names = [pa.array(anchors), pa.array(owner)], ["anchor", "owner"]
-            if places:
-                columns, names = [*columns, pa.array(starts << 10 | counts << 5 | shifts)], [*names, "place"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+def _unpacked(blob: bytes, n: int, kinds: list[str]) -> list[np.ndarray]:
+    sizes = [np.dtype(k).itemsize for k in kinds]
+    held, at, out = np.frombuffer(pa.decompress(blob, n * sum(sizes), "zstd", asbytes=True), np.uint8), 0, []
+    for kind, size in zip(kinds, sizes, strict=True):
+        out.append(np.ascontiguousarray(held[at : at + n * size].reshape(size, n).T).view(kind).ravel())
+        at += n * size
+    return out
+
 
-    source = df.select("_row" if places else "_doc", "_text")
-    return source.mapInArrow(run, "anchor long, owner long, place long" if places else "anchor long, owner long")
+_KINDS = ["<u4", "<i8", "<i8"]
+
+
+def _groups(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted keys: where each distinct one begins, and whether more than one row has it."""
+    begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return begin, np.minimum.reduceat(rows, begin) != np.maximum.reduceat(rows, begin)
+
+
+def stretch_blobs(rows: np.ndarray, texts: list[bytes], bits: int) -> list[tuple[int, int, bytes]]:
+    """(bucket, entries, blob) of a stretch of texts. Buckets below 0 hold places that are known to be shared; entries of
+    the others may share their anchor with another stretch, and those of place -1 stand for ones known already."""
+    lengths = np.array([len(t) for t in texts])
+    ends = np.cumsum(lengths)
+    keys, starts, counts, shifts, sides = anchor_runs(b"".join(texts), ends)
+    text = np.searchsorted(ends, starts, "right")
+    places = _place(starts - (ends - lengths)[text], counts, shifts, sides)
+    order = np.argsort(keys, kind="stable")
+    keys, owners, places = keys[order], rows[text[order]], places[order]
+    begin, shared = _groups(keys, owners)
+    known = np.repeat(shared, np.diff(begin, append=len(keys)))
+    out = []
+    if known.any():
+        out.append((-1 - int(keys[0] >> np.uint64(64 - bits)) if bits else -1, int(known.sum()), _packed(np.zeros(known.sum(), "<u4"), owners[known], places[known])))
+    ahead = ~known
+    ahead[begin[shared]] = True
+    places = np.where(known, -1, places)[ahead]
+    keys, owners = keys[ahead], owners[ahead]
+    part = (keys >> np.uint64(32 - bits)).astype("<u4")
+    bucket = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        out.append((int(bucket[a]), b - a, _packed(part[a:b], owners[a:b], places[a:b])))
+    return out
+
+
+def _shared_places(docs: DataFrame, size: int) -> DataFrame:
+    """(owner, place) of each run whose anchor two documents have; ``size``: bytes of all texts."""
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // BUCKET_BYTES))
+    bits = min(30, (parts * 4 - 1).bit_length())
+    bounded_batches(docs.sparkSession)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, texts, held = [], [], 0
+
+        def blobs() -> pa.RecordBatch:
+            made = stretch_blobs(np.array(rows, np.int64), texts, bits)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "n", "blob"])
+
+        for batch in batches:
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows.append(row)
+                texts.append(text.encode())
+                held += len(texts[-1])
+                if held > STRETCH:
+                    yield blobs()
+                    rows, texts, held = [], [], 0
+        if rows:
+            yield blobs()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, owners, places = [], [], []
+        out = lambda o, p: pa.RecordBatch.from_arrays([pa.array(o), pa.array(p)], names=["owner", "place"])
+        for batch in batches:
+            for bucket, n, blob in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                part, owner, place = _unpacked(blob, n, _KINDS)
+                if bucket < 0:
+                    yield out(owner, place)
+                else:
+                    keys.append(part.astype(np.uint64) | np.uint64(bucket << 32))
+                    owners.append(owner)
+                    places.append(place)
+        if keys:
+            key, owner, place = np.concatenate(keys), np.concatenate(owners), np.concatenate(places)
+            keys, owners, places = [], [], []
+            order = np.argsort(key)
+            key, owner, place = key[order], owner[order], place[order]
+            begin, shared = _groups(key, owner)
+            taken = np.repeat(shared, np.diff(begin, append=len(key))) & (place >= 0)
+            yield out(owner[taken], place[taken])
+
+    blobs = docs.select("_row", "_text").mapInArrow(pack, "bucket int, n int, blob binary")
+    return blobs.repartition(parts, "bucket").mapInArrow(meet, "owner long, place long")
 
 
 def _neighbourhoods(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """(anchor, doc, row, start, shift, body): the bytes around each shared anchor."""
-    held = places.groupBy("owner").agg(F.collect_list(F.struct("place", "anchor")).alias("runs"))
-    joined = docs.join(held, F.col("_row") == F.col("owner")).select("_doc", "_row", "_text", "runs")
+    """(doc, row, start, shift, side, body): the bytes around each shared anchor."""
+    held = places.groupBy("owner").agg(F.collect_list("place").alias("places"))
+    joined = docs.join(held, F.col("_row") == F.col("owner")).select("_doc", "_row", "_text", "places")
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, row, text, runs in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                data, out = text.encode(), []
-                for r in runs:
-                    start, count, shift = r["place"] >> 10, r["place"] >> 5 & 31, r["place"] & 31
-                    out.append((r["anchor"], doc, row, start, shift, data[start : start + count + LENGTH - 1]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-
-    names = ["anchor", "doc", "row", "start", "shift", "body"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-    return joined.mapInArrow(run, "anchor long, doc long, row long, start long, shift int, body binary")
-
-
-def _comparable(bodies: list[tuple]) -> list[bool]:
-    """Which (anchor, ..., shift, body, ...) of a bin can share a string with another: half of what a string has beside
-    its anchor lies on one side of it, so that many bytes next to the anchor must be shared there."""
-    half = (LENGTH - ANCHOR) // 2
-    sides = [((x[0], 0, x[4][x[3] - half : x[3]]) if x[3] >= half else None, (x[0], 1, x[4][x[3] + ANCHOR : x[3] + ANCHOR + half])) for x in bodies]
-    seen: dict[tuple, int] = {}
-    for pair in sides:
-        for side in pair:
-            seen[side] = seen.get(side, 0) + 1
-    return [bool((a and seen[a] > 1) or seen[b] > 1) for a, b in sides]
-
-
-def first_documents(bodies: list[tuple[bytes, int, int]]) -> list[list[int]]:
+            for doc, row, text, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                data, place = text.encode(), at.values.to_numpy()
+                start, count = place >> 11, place >> 6 & 31
+                bodies = [data[a:b] for a, b in zip(start.tolist(), (start + count + (LENGTH - 1)).tolist(), strict=True)]
+                same = [np.full(len(place), x, np.int64) for x in (doc, row)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, same), pa.array(start), pa.array((place >> 1 & 31).astype(np.int32)), pa.array((place & 1).astype(np.int32)), pa.array(bodies, pa.binary())], names=names)
+
+    names = ["doc", "row", "start", "shift", "side", "body"]
+    return joined.mapInArrow(run, "doc long, row long, start long, shift int, side int, body binary")
+
+
+def first_documents(bodies: list[tuple[bytes, int, int]], length: int = ANCHOR) -> list[list[int]]:
     """For each (bytes, anchor's offset, smallest document): of each of its strings the smallest document in the bin."""
     symbols: list[int] = []
     anchors: dict[bytes, int] = {}
     where: list[tuple[int, int]] = []
     for b, (body, shift, _) in enumerate(bodies):
-        anchor = anchors.setdefault(body[shift : shift + ANCHOR], 257 + len(anchors))
-        piece = [x + 1 for x in body[:shift]] + [anchor] + [x + 1 for x in body[shift + ANCHOR :]] + [0]
+        anchor = anchors.setdefault(body[shift : shift + length], 257 + len(anchors))
+        piece = [x + 1 for x in body[:shift]] + [anchor] + [x + 1 for x in body[shift + length :]] + [0]
         count = len(body) - LENGTH + 1
         where += [(b, o) for o in range(count)] + [(b, -1)] * (len(piece) - count)
         symbols += piece
@@ -213,22 +270,16 @@ def _runs_of(least: list[int], most: int) -> list[tuple[int, int, int]]:
 FOUND = "k1 long, k2 long, first int, last int, least long"
 
 
-def _search(bodies: DataFrame) -> DataFrame:
-    """Bins of whole anchors, a suffix array for each."""
-    ordered = bodies.repartition("anchor").sortWithinPartitions("anchor")
+def _binned(bodies: DataFrame, length: int) -> DataFrame:
+    """Bins of whole anchors of ``length`` bytes, a suffix array for each bin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size, last = 0, None
 
         def work() -> Iterator[pa.RecordBatch]:
-            compared, alone = [], []
-            for x, meets in zip(held, _comparable(held), strict=True):
-                (compared if meets else alone).append(x)
-            found = first_documents([(x[4], x[3], x[5]) for x in compared]) if compared else []
-            found += [[x[5]] * (len(x[4]) - LENGTH + 1) for x in alone]
-            every = compared + alone
-            out = [(x[1], x[2], *r) for x, least in zip(every, found, strict=True) for r in _runs_of(least, x[6])]
+            found = first_documents([(x[4], x[3], x[5]) for x in held], length)
+            out = [(x[1], x[2], *r) for x, least in zip(held, found, strict=True) for r in _runs_of(least, x[6])]
             if out:
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["k1", "k2", "first", "last", "least"])
@@ -243,59 +294,63 @@ def _search(bodies: DataFrame) -> DataFrame:
         if held:
             yield from work()
 
-    return ordered.select("anchor", "k1", "k2", "shift", "body", "least", "most").mapInArrow(run, FOUND)
-
-
-def _crowded(bodies: DataFrame) -> DataFrame:
-    """The same for crowded anchors, string by string: minima by partial aggregation."""
-    strings = bodies.select("k1", "k2", "least", "most", "body", F.explode(F.sequence(F.lit(0), F.length("body") - LENGTH)).alias("at")).select("k1", "k2", "least", "most", "at", F.substring("body", F.col("at") + 1, F.lit(LENGTH)).alias("string"))
-    firsts = strings.groupBy("string").agg(F.min("least").alias("low"))
-    return strings.join(firsts, "string").where("low < most").select("k1", "k2", F.col("at").alias("first"), F.col("at").alias("last"), F.col("low").alias("least"))
-
-
-def _firsts(df: DataFrame, text: str, keep: str) -> DataFrame:
-    """The smallest document of each text long enough: ``_k1``, ``_k2``, ``_first``."""
-    keyed = df.where(F.col(keep).isNotNull() & (F.octet_length(text) >= LENGTH)).select(F.col(keep).cast("long").alias("_doc"), *text_key(F.col(text)))
-    return keyed.groupBy("_k1", "_k2").agg(F.min("_doc").alias("_first"))
-
-
-def spans(df: DataFrame, text: str = "text", keep: str = "doc_id") -> DataFrame:
-    """``_k1``, ``_k2``, ``_first`` of each text long enough, and ``ranges``: the byte ranges (from, to) that the text's
-    first document must remove, which may overlap (null: none)."""
-    spark = df.sparkSession
-    firsts = Written(_firsts(df, text, keep), "firsts")
-    keyed = df.where(F.octet_length(text) >= LENGTH).select(F.col(keep).cast("long").alias("_doc"), F.col(text).cast("string").alias("_text"), *text_key(F.col(text)))
-    # The comparison is no equality that would become a third join key: the texts move once, for join and distinct.
-    once = keyed.join(firsts.df, ["_k1", "_k2"]).where("(_doc ^ _first) = 0").dropDuplicates(["_k1", "_k2"])
-    unique = Written(once.select(F.monotonically_increasing_id().alias("_row"), "_doc", "_k1", "_k2", "_text"), "unique")
-    docs = unique.df
-    release(spark)
-    shared = Written(_rows(docs, False).groupBy("anchor").agg(F.min("owner").alias("lo"), F.max("owner").alias("hi")).where("lo < hi").select("anchor"), "anchors")
-    release(spark)
-    places = Written(_rows(docs, True).join(shared.df.hint("shuffle_hash"), "anchor", "left_semi"), "places")
-    shared.drop()
-    release(spark)
-    key = [F.xxhash64("anchor", "body").alias("k1"), F.xxhash64(F.lit(1), F.col("anchor"), F.col("body")).alias("k2")]
-    around = Written(_neighbourhoods(docs, places.df).select("*", *key), "neighbourhoods")
+    ordered = bodies.repartition("key").sortWithinPartitions("key")
+    return ordered.select("key", "k1", "k2", "shift", "body", "least", "most").mapInArrow(run, FOUND)
+
+
+def _anchored(shift: Column, side: Column, body: Column, length: int) -> list[Column]:
+    """``key`` of the anchor, and 128 bits that stand for the body and the anchor's place in it."""
+    anchor = F.substring(body, shift + 1, F.lit(length))
+    return [F.xxhash64(side, anchor).alias("key"), F.xxhash64(side, shift, body).alias("k1"), F.xxhash64(F.lit(1), side, shift, body).alias("k2")]
+
+
+def _halves(bodies: DataFrame, length: int) -> DataFrame:
+    """Each body as the strings that reach further to the left of the anchor and those that reach further to the right,
+    with anchors so much longer: ``of1``, ``of2`` and ``skip`` say which strings of which body they are."""
+    half = -(-(LENGTH - length) // 2)
+    count, shift = F.length("body") - (LENGTH - 1), F.col("shift")
+    lefts = F.least(count, F.greatest(shift - (half - 1), F.lit(0)))
+    part = lambda side, skip, many, at: F.struct(F.lit(side).alias("side"), skip.alias("skip"), many.alias("many"), at.alias("shift"))
+    parts = F.filter(F.array(part(1, F.lit(0), lefts, shift - half), part(0, lefts, count - lefts, shift - lefts)), lambda p: p["many"] > 0)
+    cut = bodies.select(F.col("k1").alias("of1"), F.col("k2").alias("of2"), "least", "most", "body", F.explode(parts).alias("p"))
+    body = F.substring("body", F.col("p.skip") + 1, F.col("p.many") + (LENGTH - 1))
+    held = cut.select("of1", "of2", "least", "most", F.col("p.skip").alias("skip"), F.col("p.shift").alias("shift"), F.col("p.side").alias("side"), body.alias("body"))
+    return held.select("*", *_anchored(F.col("shift"), F.col("side"), F.col("body"), length + half))
+
+
+def _search(bodies: DataFrame, length: int = ANCHOR) -> DataFrame:
+    """(k1, k2, first, last, least) of the strings of distinct bodies that a smaller document than ``most`` has."""
+    counts = Written(bodies.groupBy("key").agg(F.count("*").alias("n"), F.min("least").alias("lo"), F.max("most").alias("hi")).where("lo < hi").select("key", "n"), "anchors").df
+    counted = bodies.join(counts, "key")
+    alone = counted.where("n = 1").select("k1", "k2", F.lit(0).alias("first"), (F.length("body") - LENGTH).alias("last"), "least")
+    found = alone.unionByName(_binned(counted.where(F.col("n").between(2, CROWD)), length))
+    if counts.where(F.col("n") > CROWD).isEmpty():
+        return found
+    finer = Written(_halves(counted.where(F.col("n") > CROWD), length), "finer").df
+    longer = length + -(-(LENGTH - length) // 2)
+    distinct = Written(finer.groupBy("key", "k1", "k2", "shift", "side", "body").agg(F.min("least").alias("least"), F.max("most").alias("most")), "bodies").df
+    inner = Written(_search(distinct, longer), "found").df
+    back = finer.select("k1", "k2", "of1", "of2", "skip", "most").join(inner, ["k1", "k2"]).where("least < most")
+    return found.unionByName(back.select(F.col("of1").alias("k1"), F.col("of2").alias("k2"), (F.col("skip") + F.col("first")).alias("first"), (F.col("skip") + F.col("last")).alias("last"), "least"))
+
+
+def _ranges(docs: DataFrame, size: int) -> DataFrame:
+    """(_row, ranges) of the documents that lose something: the byte ranges (from, to), which may overlap."""
+    places = Written(_shared_places(docs, size), "places")
+    around = Written(_neighbourhoods(docs, places.df).select("doc", "row", "start", "shift", "side", "body", *_anchored(F.col("shift"), F.col("side"), F.col("body"), ANCHOR)), "neighbourhoods")
     places.drop()
-    release(spark)
-    bodies = Written(around.df.groupBy("anchor", "k1", "k2", "shift", "body").agg(F.min("doc").alias("least"), F.max("doc").alias("most")), "bodies")
-    crowds = Written(bodies.df.groupBy("anchor").count().where(F.col("count") > CROWD).select("anchor"), "crowds")
-    calm, crowded = bodies.df.join(crowds.df, "anchor", "left_anti"), bodies.df.join(crowds.df, "anchor", "left_semi")
-    found = Written(_search(calm).unionByName(_crowded(crowded)), "found")
+    bodies = Written(around.df.groupBy("key", "k1", "k2", "shift", "side", "body").agg(F.min("doc").alias("least"), F.max("doc").alias("most")), "bodies")
+    found = Written(_search(bodies.df), "found")
     bodies.drop()
-    release(spark)
-    ranges = around.df.select("k1", "k2", "doc", "row", "start").join(found.df, ["k1", "k2"]).where("least < doc")
-    ranges = ranges.select("row", F.struct((F.col("start") + F.col("first")).alias("from"), (F.col("start") + F.col("last") + LENGTH).alias("to")).alias("range"))
-    cuts = ranges.groupBy("row").agg(F.collect_set("range").alias("ranges"))
-    named = Written(docs.select(F.col("_row").alias("row"), "_k1", "_k2").join(cuts, "row").select("_k1", "_k2", "ranges"), "cuts")
-    for table in (around, found, unique):
-        table.drop()
-    release(spark)
-    return firsts.df.join(named.df, ["_k1", "_k2"], "left")
-
-
-def _merged(ranges: list[dict]) -> list[tuple[int, int]]:
+    pieces = around.df.select("k1", "k2", "doc", "row", "start").join(found.df, ["k1", "k2"]).where("least < doc")
+    pieces = pieces.select("row", F.struct((F.col("start") + F.col("first")).alias("from"), (F.col("start") + F.col("last") + LENGTH).alias("to")).alias("range"))
+    cuts = Written(pieces.groupBy(F.col("row").alias("_cut")).agg(F.collect_set("range").alias("ranges")), "cuts")
+    around.drop()
+    found.drop()
+    return cuts.df
+
+
+def merged(ranges: list[dict]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for a, b in sorted((r["from"], r["to"]) for r in ranges):
         if out and a <= out[-1][1]:
@@ -305,34 +360,55 @@ def _merged(ranges: list[dict]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def dedup(df: DataFrame, text: str = "text", keep: str = "doc_id", kept: bool = True) -> DataFrame:
-    """``keep``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``, and ``kept`` (binary) unless told not to.
-
-    Each byte goes that a LENGTH-byte string covers which also starts in a document of smaller id. Null texts are
-    empty; null ids are neither earlier nor later than others and lose nothing; rows of one id are one document's.
-    Repeated rows stay; an empty table gives no rows; other columns are ignored.
-    """
-    rows = df.select(F.col(keep).alias("_id"), F.col(text).cast("string").alias("_text"), *text_key(F.col(text)))
-    copy = F.coalesce(F.col("_id").cast("long") > F.col("_first"), F.lit(False))
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("from"), F.octet_length("_text").cast("long").alias("to")))
-    ranges = F.when(copy, whole).when(F.col("_id").isNotNull(), F.col("ranges"))
-    joined = rows.join(spans(df, text, keep), ["_k1", "_k2"], "left").select("_id", "_text", ranges.alias("ranges"))
-    bounded_batches(df.sparkSession)
+def _cut(docs: DataFrame, ranges: DataFrame, kept: bool) -> DataFrame:
+    """What is left of each document that loses something, by the text's key."""
+    joined = docs.join(ranges, F.col("_row") == F.col("_cut")).select("_k1", "_k2", "_text", "ranges")
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for t, ranges in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                data, merged = (t or "").encode(), _merged(ranges or [])
-                at, left = 0, []
-                for a, b in merged:
+            for t, ranges in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                data, cuts, at, left = t.encode(), merged(ranges), 0, []
+                for a, b in cuts:
                     left.append(data[at:a])
                     at = b
                 rest = b"".join([*left, data[at:]])
-                out.append((len(data), len(data) - len(rest), len(merged), hashlib.sha256(rest).hexdigest(), *([rest] if kept else [])))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), *([pa.binary()] if kept else [])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * len(kinds), kinds, strict=True)]], names=names)
+                out.append((len(data) - len(rest), len(cuts), hashlib.sha256(rest).hexdigest(), *([rest] if kept else [])))
+            kinds = [pa.int64(), pa.int64(), pa.string(), *([pa.binary()] if kept else [])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * len(kinds), kinds, strict=True)]], names=names)
+
+    names = ["_k1", "_k2", "_gone", "_spans", "_sha", *(["_rest"] if kept else [])]
+    return joined.mapInArrow(run, f"_k1 long, _k2 long, _gone long, _spans long, _sha string{', _rest binary' if kept else ''}")
+
 
-    names = [keep, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if kept else [])]
-    kind = df.schema[keep].dataType.simpleString()
-    return joined.mapInArrow(run, f"{keep} {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string{', kept binary' if kept else ''}")
+def dedup(df: DataFrame, text: str = "text", keep: str = "doc_id", kept: bool = True) -> DataFrame:
+    """``keep``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``, and ``kept`` (binary) unless told not to.
+
+    Each byte goes that a LENGTH-byte string covers which also starts in a document of smaller id. Ids are integers.
+    Null texts are empty; null ids are neither earlier nor later than others and lose nothing; rows of one id are one
+    document's. Texts under LENGTH bytes lose nothing. Repeated rows stay; an empty table gives no rows; other columns
+    are ignored.
+    """
+    integer_id(df, keep)
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    doc = F.col(keep).cast("long")
+    long = df.where(doc.isNotNull() & (F.octet_length(body) >= LENGTH))
+    firsts = Written(long.select(doc.alias("_first"), F.octet_length(body).alias("_bytes"), *text_key(body)).groupBy("_k1", "_k2").agg(F.min("_first").alias("_first"), F.max("_bytes").alias("_bytes")), "firsts").df
+    size = firsts.agg(F.sum(F.col("_bytes").cast("long"))).first()[0] or 0
+    # The smallest id is a key of the join too, so copies of a text spread over tasks.
+    keys = firsts.select("_k1", "_k2", F.col("_first").alias("_doc"))
+    once = long.select(doc.alias("_doc"), body.alias("_text"), *text_key(body)).join(keys, ["_k1", "_k2", "_doc"]).dropDuplicates(["_k1", "_k2", "_doc"])
+    unique = Written(once.select(F.monotonically_increasing_id().alias("_row"), "_doc", "_k1", "_k2", "_text"), "unique")
+    ranges = _ranges(unique.df, size)
+    cut = Written(firsts.drop("_bytes").join(_cut(unique.df, ranges, kept), ["_k1", "_k2"], "left"), "cut").df
+    unique.drop()
+    rows = df.select(F.col(keep).alias("_id"), doc.alias("_doc"), F.octet_length(body).cast("long").alias("_n"), F.sha2(body.cast("binary"), 256).alias("_whole"), *([body.cast("binary").alias("_text")] if kept else []), *text_key(body))
+    joined = rows.join(cut, ["_k1", "_k2"], "left")
+    copy, first = F.col("_doc") > F.col("_first"), F.col("_doc") == F.col("_first")
+    pick = lambda whole, part, none: F.when(copy, whole).when(first, F.coalesce(part, none)).otherwise(none)
+    zero = F.lit(0).cast("long")
+    return joined.select(
+        F.col("_id").alias(keep), F.col("_n").alias("n_bytes"), pick(F.col("_n"), F.col("_gone"), zero).alias("n_removed"), pick(F.lit(1).cast("long"), F.col("_spans"), zero).alias("n_spans"),
+        pick(F.lit(hashlib.sha256(b"").hexdigest()), F.col("_sha"), F.col("_whole")).alias("kept_sha256"), *([pick(F.lit(b""), F.col("_rest"), F.col("_text")).alias("kept")] if kept else []),
+    )

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -47,7 +48,7 @@ def test_documents(some, texts):
     assert result(some) == by_definition(texts)
 
 
-@pytest.mark.parametrize("crowd", [1, 512])
+@pytest.mark.parametrize("crowd", [1, 3, 512])
 def test_planted(spark, monkeypatch, crowd):
     monkeypatch.setattr(substrings, "CROWD", crowd)
     monkeypatch.setattr(substrings, "BIN_BYTES", 2000)
@@ -61,10 +62,22 @@ def test_planted(spark, monkeypatch, crowd):
 
 def test_runs_cover_every_string():
     data = ("lorem ipsum " * 30 + "a" * 200).encode()
-    hashes, starts, counts, shifts = substrings.anchor_runs(data)
+    hashes, starts, counts, shifts, sides = substrings.anchor_runs(data, np.array([len(data)]))
     assert starts[0] == 0 and counts.sum() == len(data) - 49 and (starts[1:] == (starts + counts)[:-1]).all()
-    assert ((shifts >= counts - 1) & (shifts < substrings.PLACES)).all() and len(substrings.anchor_runs(b"short")[0]) == 0
-    assert len(hashes) == len(starts)
+    assert ((shifts >= counts - 1) & (shifts + substrings.ANCHOR <= 50)).all() and len(hashes) == len(starts)
+    assert len(substrings.anchor_runs(b"", np.empty(0, int))[0]) == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("ab", min_size=50, max_size=130), min_size=1, max_size=6))
+def test_equal_strings_have_equal_anchors(texts):
+    ends = np.cumsum([len(t) for t in texts])
+    data, found = "".join(texts).encode(), {}
+    for key, start, count, _, _ in zip(*substrings.anchor_runs(data, ends), strict=True):
+        for at in range(start, start + count):
+            assert found.setdefault(data[at : at + 50], key) == key
+    inside = {t.encode()[k : k + 50] for t in texts for k in range(len(t) - 49)}
+    assert set(found) == inside
 
 
 def test_odd(odd, none):
@@ -75,13 +88,33 @@ def test_odd(odd, none):
     assert kept[2] == b"" and kept[8] in (b"x", b"y y")
 
 
-def test_joined_texts_have_their_own_runs(monkeypatch):
+def test_passes_do_not_matter(monkeypatch):
     rng = random.Random(2)
     texts = [bytes(rng.choice(b"abc") for _ in range(rng.choice([50, 51, 90, 400]))) for _ in range(30)]
-    for block in (1 << 22, 300):
-        monkeypatch.setattr(substrings, "BLOCK", block)
-        got = sorted(zip(*[c.tolist() for c in substrings.batch_runs(texts)], strict=True), key=lambda r: (r[4], r[1]))
-        monkeypatch.setattr(substrings, "BLOCK", 1 << 22)
-        want = [(*r, i) for i, t in enumerate(texts) for r in zip(*[c.tolist() for c in substrings.anchor_runs(t)], strict=True)]
-        covered = lambda rows: {(i, s + k, h) for h, s, n, _, i in rows for k in range(n)}
-        assert covered(got) == covered(want)
+    strings = lambda: {(s + k, h) for h, s, n, *_ in zip(*substrings.anchor_runs(b"".join(texts), np.cumsum([*map(len, texts)])), strict=True) for k in range(n)}
+    whole = strings()
+    monkeypatch.setattr(substrings, "BLOCK", 300)
+    assert strings() == whole
+
+
+@pytest.mark.parametrize("bits", [0, 3, 9])
+def test_blobs_keep_what_stretches_share(bits):
+    """Places that a stretch knows to be shared, and entries that meet those of others."""
+    rng = random.Random(bits)
+    passage = bytes(rng.choice(b"abcdefgh") for _ in range(90))
+    texts = [bytes(rng.choice(b"abcdefgh") for _ in range(80)) + (passage if i % 3 else b"") for i in range(9)]
+    known, ahead = set(), {}
+    for bucket, n, blob in substrings.stretch_blobs(np.arange(9), texts, bits):
+        for key, row, place in zip(*[c.tolist() for c in substrings._unpacked(blob, n, substrings._KINDS)], strict=True):
+            if bucket < 0:
+                known.add((row, place))
+            else:
+                ahead.setdefault((bucket, key), []).append((row, place))
+    assert {row for row, _ in known} == {i for i in range(9) if i % 3}
+    probes = [v for v in ahead.values() if v[0][1] == -1]
+    assert probes and all(len(v) == 1 for v in probes) and known.isdisjoint(x for v in ahead.values() for x in v)
+
+
+def test_ids_are_integers(spark):
+    with pytest.raises(TypeError):
+        substrings.dedup(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
