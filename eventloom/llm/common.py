@@ -68,7 +68,7 @@ class Written:
         before = self.spark.conf.get(CLEANUP, None)
         self.spark.conf.set(CLEANUP, "true")
         try:
-            df.write.parquet(self.path)
+            df.write.option("compression", "zstd").parquet(self.path)
         finally:
             self.spark.conf.set(CLEANUP, before) if before is not None else self.spark.conf.unset(CLEANUP)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)

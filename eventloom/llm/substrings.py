@@ -267,7 +267,45 @@ def _runs_of(least: list[int], most: int) -> list[tuple[int, int, int]]:
     return out
 
 
-FOUND = "k1 long, k2 long, first int, last int, least long"
+def _trimmed(bodies: list[tuple], length: int) -> list[tuple[int, int]]:
+    """The first and last string of each (key, own, shift, body, ...) that another body of its key may have.
+
+    A string reaches further to the left of its anchor or to the right, and must share that side's nearest bytes.
+    """
+    half = -(-(LENGTH - length) // 2)
+    sides, seen = [], {}
+    for x in bodies:
+        key, shift, body = x[0], x[2], x[3]
+        left = (key, 0, body[shift - half : shift]) if half and shift >= half else None
+        right = (key, 1, body[shift + length : shift + length + half]) if len(body) >= shift + length + half else None
+        for side in (left, right):
+            seen[side] = seen.get(side, 0) + 1
+        sides.append((left, right))
+    out = []
+    for x, (left, right) in zip(bodies, sides, strict=True):
+        last, turn = len(x[3]) - LENGTH, x[2] - half
+        first, end = 0 if left and seen[left] > 1 else max(0, turn + 1), last if right and seen[right] > 1 else min(last, turn)
+        out.append((first, end))
+    return out
+
+
+FOUND = "key long, own long, first int, last int, least long"
+
+
+def _bin(held: list[tuple], length: int) -> list[tuple]:
+    """(key, own, first, last, least) from whole keys' (key, own, shift, body, least, most)."""
+    out, compared, trims = [], [], []
+    for x, (first, end) in zip(held, _trimmed(held, length), strict=True):
+        last = len(x[3]) - LENGTH
+        if x[4] < x[5]:
+            out += [(x[0], x[1], a, b, x[4]) for a, b in (((0, first - 1), (end + 1, last)) if first <= end else ((0, last),)) if a <= b]
+        if first <= end:
+            compared.append(x)
+            trims.append((first, end))
+    least = first_documents([(x[3][a : b + LENGTH], x[2] - a, x[4]) for x, (a, b) in zip(compared, trims, strict=True)], length) if compared else []
+    for x, (a, _), low in zip(compared, trims, least, strict=True):
+        out += [(x[0], x[1], a + i, a + j, doc) for i, j, doc in _runs_of(low, x[5])]
+    return out
 
 
 def _binned(bodies: DataFrame, length: int) -> DataFrame:
@@ -278,11 +316,9 @@ def _binned(bodies: DataFrame, length: int) -> DataFrame:
         size, last = 0, None
 
         def work() -> Iterator[pa.RecordBatch]:
-            found = first_documents([(x[4], x[3], x[5]) for x in held], length)
-            out = [(x[1], x[2], *r) for x, least in zip(held, found, strict=True) for r in _runs_of(least, x[6])]
-            if out:
+            if out := _bin(held, length):
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["k1", "k2", "first", "last", "least"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["key", "own", "first", "last", "least"])
 
         for batch in batches:
             for x in zip(*[c.to_pylist() for c in batch.columns], strict=True):
@@ -290,18 +326,18 @@ def _binned(bodies: DataFrame, length: int) -> DataFrame:
                     yield from work()
                     held, size = [], 0
                 held.append(x)
-                size, last = size + len(x[4]), x[0]
+                size, last = size + len(x[3]), x[0]
         if held:
             yield from work()
 
     ordered = bodies.repartition("key").sortWithinPartitions("key")
-    return ordered.select("key", "k1", "k2", "shift", "body", "least", "most").mapInArrow(run, FOUND)
+    return ordered.select("key", "own", "shift", "body", "least", "most").mapInArrow(run, FOUND)
 
 
 def _anchored(shift: Column, side: Column, body: Column, length: int) -> list[Column]:
-    """``key`` of the anchor, and 128 bits that stand for the body and the anchor's place in it."""
+    """``key`` of the anchor and ``own`` of the body and the anchor's place in it: together they stand for the body."""
     anchor = F.substring(body, shift + 1, F.lit(length))
-    return [F.xxhash64(side, anchor).alias("key"), F.xxhash64(side, shift, body).alias("k1"), F.xxhash64(F.lit(1), side, shift, body).alias("k2")]
+    return [F.xxhash64(side, anchor).alias("key"), F.xxhash64(F.lit(1), side, shift, body).alias("own")]
 
 
 def _halves(bodies: DataFrame, length: int) -> DataFrame:
@@ -312,42 +348,46 @@ def _halves(bodies: DataFrame, length: int) -> DataFrame:
     lefts = F.least(count, F.greatest(shift - (half - 1), F.lit(0)))
     part = lambda side, skip, many, at: F.struct(F.lit(side).alias("side"), skip.alias("skip"), many.alias("many"), at.alias("shift"))
     parts = F.filter(F.array(part(1, F.lit(0), lefts, shift - half), part(0, lefts, count - lefts, shift - lefts)), lambda p: p["many"] > 0)
-    cut = bodies.select(F.col("k1").alias("of1"), F.col("k2").alias("of2"), "least", "most", "body", F.explode(parts).alias("p"))
+    cut = bodies.select(F.col("key").alias("of_key"), F.col("own").alias("of_own"), "least", "most", "body", F.explode(parts).alias("p"))
     body = F.substring("body", F.col("p.skip") + 1, F.col("p.many") + (LENGTH - 1))
-    held = cut.select("of1", "of2", "least", "most", F.col("p.skip").alias("skip"), F.col("p.shift").alias("shift"), F.col("p.side").alias("side"), body.alias("body"))
+    held = cut.select("of_key", "of_own", "least", "most", F.col("p.skip").alias("skip"), F.col("p.shift").alias("shift"), F.col("p.side").alias("side"), body.alias("body"))
     return held.select("*", *_anchored(F.col("shift"), F.col("side"), F.col("body"), length + half))
 
 
+def _distinct(bodies: DataFrame, least: str, most: str) -> Written:
+    return Written(bodies.groupBy("key", "own", "shift", "side", "body").agg(F.min(least).alias("least"), F.max(most).alias("most")), "bodies")
+
+
 def _search(bodies: DataFrame, length: int = ANCHOR) -> DataFrame:
-    """(k1, k2, first, last, least) of the strings of distinct bodies that a smaller document than ``most`` has."""
-    counts = Written(bodies.groupBy("key").agg(F.count("*").alias("n"), F.min("least").alias("lo"), F.max("most").alias("hi")).where("lo < hi").select("key", "n"), "anchors").df
-    counted = bodies.join(counts, "key")
-    alone = counted.where("n = 1").select("k1", "k2", F.lit(0).alias("first"), (F.length("body") - LENGTH).alias("last"), "least")
-    found = alone.unionByName(_binned(counted.where(F.col("n").between(2, CROWD)), length))
-    if counts.where(F.col("n") > CROWD).isEmpty():
-        return found
-    finer = Written(_halves(counted.where(F.col("n") > CROWD), length), "finer").df
-    longer = length + -(-(LENGTH - length) // 2)
-    distinct = Written(finer.groupBy("key", "k1", "k2", "shift", "side", "body").agg(F.min("least").alias("least"), F.max("most").alias("most")), "bodies").df
-    inner = Written(_search(distinct, longer), "found").df
-    back = finer.select("k1", "k2", "of1", "of2", "skip", "most").join(inner, ["k1", "k2"]).where("least < most")
-    return found.unionByName(back.select(F.col("of1").alias("k1"), F.col("of2").alias("k2"), (F.col("skip") + F.col("first")).alias("first"), (F.col("skip") + F.col("last")).alias("last"), "least"))
-
-
-def _ranges(docs: DataFrame, size: int) -> DataFrame:
-    """(_row, ranges) of the documents that lose something: the byte ranges (from, to), which may overlap."""
+    """(key, own, first, last, least) of the strings of distinct bodies that a smaller document than ``most`` has."""
+    crowds = Written(bodies.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("key"), "crowds").df
+    if crowds.isEmpty():
+        return _binned(bodies, length)
+    found = _binned(bodies.join(crowds, "key", "left_anti"), length)
+    finer = Written(_halves(bodies.join(crowds, "key", "left_semi"), length), "finer").df
+    inner = Written(_search(_distinct(finer, "least", "most").df, length - (length - LENGTH) // 2), "found").df
+    back = finer.select("key", "own", "of_key", "of_own", "skip", "most").join(inner, ["key", "own"]).where("least < most")
+    return found.unionByName(back.select(F.col("of_key").alias("key"), F.col("of_own").alias("own"), (F.col("skip") + F.col("first")).alias("first"), (F.col("skip") + F.col("last")).alias("last"), "least"))
+
+
+def _ranges(unique: Written, size: int) -> DataFrame:
+    """(_k1, _k2, _doc, ranges) of the texts that lose something: byte ranges (from, to), which may overlap. ``unique``
+    is dropped as soon as it has been read."""
+    docs = unique.df
+    names = Written(docs.select(F.col("_row").alias("row"), "_k1", "_k2", "_doc"), "names")
     places = Written(_shared_places(docs, size), "places")
     around = Written(_neighbourhoods(docs, places.df).select("doc", "row", "start", "shift", "side", "body", *_anchored(F.col("shift"), F.col("side"), F.col("body"), ANCHOR)), "neighbourhoods")
     places.drop()
-    bodies = Written(around.df.groupBy("key", "k1", "k2", "shift", "side", "body").agg(F.min("doc").alias("least"), F.max("doc").alias("most")), "bodies")
+    unique.drop()
+    bodies = _distinct(around.df, "doc", "doc")
     found = Written(_search(bodies.df), "found")
     bodies.drop()
-    pieces = around.df.select("k1", "k2", "doc", "row", "start").join(found.df, ["k1", "k2"]).where("least < doc")
+    pieces = around.df.select("key", "own", "doc", "row", "start").join(found.df, ["key", "own"]).where("least < doc")
     pieces = pieces.select("row", F.struct((F.col("start") + F.col("first")).alias("from"), (F.col("start") + F.col("last") + LENGTH).alias("to")).alias("range"))
-    cuts = Written(pieces.groupBy(F.col("row").alias("_cut")).agg(F.collect_set("range").alias("ranges")), "cuts")
+    cuts = Written(pieces.groupBy("row").agg(F.collect_set("range").alias("ranges")), "cuts")
     around.drop()
     found.drop()
-    return cuts.df
+    return cuts.df.join(names.df, "row").drop("row")
 
 
 def merged(ranges: list[dict]) -> list[tuple[int, int]]:
@@ -360,10 +400,10 @@ def merged(ranges: list[dict]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _cut(docs: DataFrame, ranges: DataFrame, kept: bool) -> DataFrame:
-    """What is left of each document that loses something, by the text's key."""
-    joined = docs.join(ranges, F.col("_row") == F.col("_cut")).select("_k1", "_k2", "_text", "ranges")
-    bounded_batches(docs.sparkSession)
+def _cut(texts: DataFrame, ranges: DataFrame, kept: bool) -> DataFrame:
+    """What is left of each text that loses something, by its key."""
+    joined = texts.join(ranges, ["_k1", "_k2", "_doc"]).dropDuplicates(["_k1", "_k2", "_doc"]).select("_k1", "_k2", "_text", "ranges")
+    bounded_batches(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -396,13 +436,13 @@ def dedup(df: DataFrame, text: str = "text", keep: str = "doc_id", kept: bool =
     long = df.where(doc.isNotNull() & (F.octet_length(body) >= LENGTH))
     firsts = Written(long.select(doc.alias("_first"), F.octet_length(body).alias("_bytes"), *text_key(body)).groupBy("_k1", "_k2").agg(F.min("_first").alias("_first"), F.max("_bytes").alias("_bytes")), "firsts").df
     size = firsts.agg(F.sum(F.col("_bytes").cast("long"))).first()[0] or 0
-    # The smallest id is a key of the join too, so copies of a text spread over tasks.
+    # The smallest id is a key of the joins too, so copies of a text spread over tasks.
     keys = firsts.select("_k1", "_k2", F.col("_first").alias("_doc"))
-    once = long.select(doc.alias("_doc"), body.alias("_text"), *text_key(body)).join(keys, ["_k1", "_k2", "_doc"]).dropDuplicates(["_k1", "_k2", "_doc"])
+    texts = long.select(doc.alias("_doc"), body.alias("_text"), *text_key(body))
+    once = texts.join(keys, ["_k1", "_k2", "_doc"]).dropDuplicates(["_k1", "_k2", "_doc"])
     unique = Written(once.select(F.monotonically_increasing_id().alias("_row"), "_doc", "_k1", "_k2", "_text"), "unique")
-    ranges = _ranges(unique.df, size)
-    cut = Written(firsts.drop("_bytes").join(_cut(unique.df, ranges, kept), ["_k1", "_k2"], "left"), "cut").df
-    unique.drop()
+    gone = _cut(texts, _ranges(unique, size), kept)
+    cut = Written(firsts.drop("_bytes").join(gone, ["_k1", "_k2"], "left"), "cut").df
     rows = df.select(F.col(keep).alias("_id"), doc.alias("_doc"), F.octet_length(body).cast("long").alias("_n"), F.sha2(body.cast("binary"), 256).alias("_whole"), *([body.cast("binary").alias("_text")] if kept else []), *text_key(body))
     joined = rows.join(cut, ["_k1", "_k2"], "left")
     copy, first = F.col("_doc") > F.col("_first"), F.col("_doc") == F.col("_first")
