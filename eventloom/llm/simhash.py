@@ -17,8 +17,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, bounded_batches, map_texts, packed, text_key
+from .common import Written, bounded_batches, integer_id, map_texts, packed, text_key
 from .components import components
+from .meeting import BLOBS, bits_for, blob_batch, meet, stretch_blobs
 
 SEED = 42
 SEGMENT_BITS = 32
@@ -133,26 +134,34 @@ def near_duplicates(df: DataFrame, shingle: int = 3, text: str = "text", keep: s
     labels = components(close_pairs(distinct.select("fp")))
     labelled = distinct.join(labels, distinct["fp"] == labels["node"]).select("fp", "least", "label")
     lowest = labelled.groupBy("label").agg(F.min("least").alias("lowest"))
-    groups = distinct.join(labelled.join(lowest, "label").select("fp", "lowest"), "fp", "left").select("fp", F.coalesce("lowest", "least").alias("component_id"))
+    # Written, so that the join of all rows is a join alone, which may be split where a fingerprint has many rows.
+    groups = Written(distinct.join(labelled.join(lowest, "label").select("fp", "lowest"), "fp", "left").select("fp", F.coalesce("lowest", "least").alias("component_id")), "groups").df
     return rows.join(groups, "fp").select(F.col("_id").alias(keep), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Near-duplicates by similarity: 64-bit words of a wide fingerprint, bits of each segment that a ball may change, and
-#: the differing bits from which a pair isn't verified any more (similarity 0.8 makes about 39 of 256 differ).
-WORDS = 4
-LOOSE_BITS = 4
-FARTHEST = 64
+#: Near-duplicates by similarity: 64-bit words of a wide fingerprint, members of the ball around each segment that are
+#: looked up, the least certain bits that span the ball, and the differing bits from which a pair isn't verified any more
+#: (similarity 0.8 makes about 78 of 512 differ, 8 more or less).
+WORDS = 8
+PROBES = 16
+LOOSE_BITS = 7
+FARTHEST = 128
 SEGMENTS = WORDS * 64 // SEGMENT_BITS
 
+#: Texts whose keys are packed together, and keys for each task that they meet in, about.
+STRETCH = 2048
+KEYS_A_TASK = 1 << 20
+
 #: Rounds of leaders before all that is left of a key is compared: they save comparisons, none is left out.
-LEADERS = 4
+LEADERS = 3
+
+_SUBSETS = ((np.arange(1 << LOOSE_BITS)[:, None] >> np.arange(LOOSE_BITS)) & 1).astype(np.float32)
 
 
-def wide_fingerprint(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of distinct shingles: 256 bits as eight segments, and for each segment the four bits nearest to one half.
+def margins(hashes: np.ndarray) -> np.ndarray:
+    """Of distinct shingles: by how much each of the wide fingerprint's bits is more often set than not.
 
-    A word is made of its own remix of the shingles' hashes. Near copies differ mostly in bits that few shingles
-    decide, so the ball around a segment is spanned by those.
+    A word is made of its own remix of the shingles' hashes.
     """
     sums = []
     for k in range(WORDS):
@@ -161,130 +170,175 @@ def wide_fingerprint(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
             mixed ^= mixed >> np.uint64(32)
         sums.append(2 * bit_counts(mixed) - len(hashes))
-    margins = np.concatenate(sums).reshape(SEGMENTS, SEGMENT_BITS)
-    bits = np.packbits(margins > 0, axis=1, bitorder="little").view("<i4").ravel()
-    loose = np.argsort(np.abs(margins), axis=1, kind="stable")[:, :LOOSE_BITS]
-    return bits, (np.uint32(1) << loose.astype(np.uint32)).view(np.int32).ravel()
+    return np.concatenate(sums)
 
 
-def _signatures(df: DataFrame, shingle: int, text: str, keep: str) -> DataFrame:
-    """A row for each distinct text with a word: ``_k1``, ``_k2``, ``_id`` (smallest), ``seg``, ``loose``, and ``node``,
-    a number of its own (ids may be repeated): to be written before it is used."""
-
-    def make() -> Callable:
-        def work(texts: list) -> dict:
-            made = [wide_fingerprint(h) if len(h := np.unique(shingle_hashes(t, shingle))) else None for t in texts]
-            return {"seg": pa.array([m and m[0] for m in made], pa.list_(pa.int32())), "loose": pa.array([m and m[1] for m in made], pa.list_(pa.int32()))}
-
-        return work
-
-    keyed = df.select(F.col(keep).cast("long").alias("_id"), F.col(text).alias("_t"), *text_key(F.col(text)))
-    rows = map_texts(keyed, make, "_id long, _k1 long, _k2 long, seg array<int>, loose array<int>", "_t", {"_id": "_id", "_k1": "_k1", "_k2": "_k2"})
-    return rows.where("seg is not null").groupBy("_k1", "_k2").agg(F.min("_id").alias("_id"), F.any_value("seg").alias("seg"), F.any_value("loose").alias("loose")).withColumn("node", F.monotonically_increasing_id())
+def ball_keys(held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of texts' margins: the fingerprints' segments, and for each text SEGMENTS * PROBES keys.
 
+    A key stands for a segment and a value in the ball around the text's own. Near copies differ mostly in bits that few
+    shingles decide, so the ball is spanned by the least certain bits, and the PROBES likeliest of its members are taken.
+    """
+    cells = held.reshape(len(held), SEGMENTS, SEGMENT_BITS)
+    own = np.packbits(cells > 0, axis=2, bitorder="little").view("<u4")[..., 0]
+    size = np.abs(cells)
+    loose = np.argsort(size, axis=2, kind="stable")[..., :LOOSE_BITS]
+    cost = (np.take_along_axis(size, loose, 2).astype(np.float32) + 0.5) @ _SUBSETS.T
+    chosen = np.argsort(cost, axis=2, kind="stable")[..., :PROBES]
+    flips = np.zeros(chosen.shape, np.uint32)
+    for b in range(LOOSE_BITS):
+        flips |= (((chosen >> b) & 1) << loose[..., b : b + 1]).astype(np.uint32)
+    keys = (own[..., None] ^ flips).astype(np.uint64) | (np.arange(1, SEGMENTS + 1, dtype=np.uint64) << np.uint64(32))[:, None]
+    keys *= np.uint64(0x9E3779B97F4A7C15)
+    keys ^= keys >> np.uint64(29)
+    keys *= np.uint64(0xBF58476D1CE4E5B9)
+    keys ^= keys >> np.uint64(32)
+    return own, keys.reshape(len(held), -1)
+
+
+def _distinct_texts(df: DataFrame, text: str, keep: str) -> DataFrame:
+    """Each distinct text: ``_k1``, ``_k2``, ``_id`` (its smallest), ``_t``, and ``node``, a number of its own (ids may be
+    repeated): to be written before it is used. Copies spread over tasks, as the id is a key of the join too."""
+    rows = df.select(F.col(keep).cast("long").alias("_id"), F.col(text).cast("string").alias("_t"), *text_key(F.col(text)))
+    least = Written(rows.groupBy("_k1", "_k2").agg(F.min("_id").alias("_id")), "texts").df.select(F.col("_k1").alias("_l1"), F.col("_k2").alias("_l2"), F.col("_id").alias("_least"))
+    once = rows.join(least, (F.col("_k1") == F.col("_l1")) & (F.col("_k2") == F.col("_l2")) & F.col("_id").eqNullSafe(F.col("_least")))
+    return once.dropDuplicates(["_k1", "_k2", "_id"]).select(F.monotonically_increasing_id().alias("node"), "_id", "_k1", "_k2", "_t")
+
+
+def _shared(texts: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """(node, seg): the fingerprints of texts with a word; (key, node): each text's keys that another text has too."""
+    spark = texts.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, -(-texts.count() * SEGMENTS * PROBES // KEYS_A_TASK))
+    bits = bits_for(parts)
+    bounded_batches(spark)
 
-def _shared(signatures: DataFrame) -> DataFrame:
-    """Each member of each key, a ball's member of a segment, that several texts have: ``key``, ``node``, the key's
-    smallest and largest node (``lo``, ``hi``) and its number of nodes ``n``."""
-    flips = 1 << LOOSE_BITS
-    j = F.col("j")
-    segment = (j / flips).cast("int")
-    value = F.get("seg", segment)
-    for bit in range(LOOSE_BITS):
-        value = value.bitwiseXOR(F.when(F.getbit(j.cast("long"), F.lit(bit)) == 1, F.get("loose", segment * LOOSE_BITS + bit)).otherwise(F.lit(0)))
-    keyed = signatures.select("node", "seg", "loose", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS * flips - 1))).alias("j")).select("node", F.xxhash64(segment, value).alias("key"))
-    ends = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    return keyed.join(ends, "key").select("key", "node", "lo", "hi", "n")
+    def run(batches):
+        nodes, held = [], []
 
+        def work() -> pa.RecordBatch:
+            owners = np.array(nodes, np.int64)
+            own, keys = ball_keys(np.stack(held))
+            owner = np.repeat(owners, keys.shape[1])
+            return blob_batch([(None, len(nodes), owners.tobytes() + own.tobytes()), *stretch_blobs(keys.ravel(), owner, np.zeros(len(owner), np.int64), bits)])
 
-def _pairs(met: DataFrame) -> DataFrame:
-    return met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+        for batch in batches:
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if len(h := np.unique(shingle_hashes(text, shingle))):
+                    nodes.append(node)
+                    held.append(margins(h))
+                if len(nodes) == STRETCH:
+                    yield work()
+                    nodes, held = [], []
+        if nodes:
+            yield work()
+
+    def prints(batches):
+        for batch in batches:
+            for n, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                seg = np.frombuffer(blob, "<i4", offset=8 * n).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * SEGMENTS), pa.array(seg))
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(blob, "<i8", n)), lists], names=["node", "seg"])
+
+    blobs = Written(texts.select("node", "_t").mapInArrow(run, BLOBS), "keys")
+    signatures = Written(blobs.df.where("bucket is null").select("n", "blob").mapInArrow(prints, "node long, seg array<int>"), "signatures").df
+    shared = Written(meet(blobs.df.where("bucket is not null"), parts, True).select("key", F.col("owner").alias("node")), "shared").df
+    blobs.drop()
+    return signatures, shared
+
+
+def _open(shared: DataFrame, found: DataFrame | None) -> DataFrame:
+    """The members of the keys whose members aren't all joined yet, with their ``label``s, the key's commonest, ``top``,
+    its share ``most`` and the number of members ``n``: ``n * (n - most)`` bounds the comparisons that are left."""
+    of = shared.withColumn("label", F.col("node")) if found is None else shared.join(components(found), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    each = of.groupBy("key", "label").agg(F.count("*").alias("c"))
+    keys = each.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("top"), F.max("c").alias("most"), F.sum("c").alias("n"), F.count("*").alias("parts")).where("parts > 1")
+    return of.join(keys.drop("parts"), "key")
 
 
-def _open(crowded: DataFrame, found: DataFrame) -> DataFrame:
-    """The members of the keys whose members aren't all joined yet, with their ``label``s and the key's commonest, ``top``.
+def _led(members: DataFrame, found: DataFrame | None, turn: int) -> DataFrame:
+    """One comparison a text at most: in the largest of its keys where it isn't joined to the leader, with the leader.
 
-    ``most`` is how many members have that one: ``n * (n - most)`` bounds the comparisons that are left.
+    A key's leader is its smallest member, then the one of most pairs, then any other by hash: one may lead in vain.
     """
-    labels = components(found)
-    of = crowded.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    each = of.groupBy("key", "label").agg(F.count("*").alias("c"))
-    keys = each.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("top"), F.max("c").alias("most"), F.count("*").alias("parts")).where("parts > 1")
-    return of.join(keys.select("key", "top", "most"), "key")
-
-
-def _led(members: DataFrame, found: DataFrame) -> DataFrame:
-    """One more leader a key against the members of other labels: of those that weren't, the one of most pairs found."""
-    degrees = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-    ready = members.where("node != lo and node != hi").join(degrees, "node", "left")
-    leaders = ready.groupBy("key").agg(F.max_by(F.struct(F.col("node").alias("other"), F.col("label").alias("its")), F.struct(F.coalesce("degree", F.lit(0)), F.xxhash64("node"))).alias("leader")).select("key", "leader.*")
-    return _pairs(members.join(leaders, "key").where("label != its"))
+    ranked, order = members, F.xxhash64(F.lit(turn), F.col("node")) if turn else -F.col("node")
+    if turn == 1 and found is not None:
+        degrees = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+        ranked, order = members.join(degrees, "node", "left"), F.struct(F.coalesce("degree", F.lit(0)), F.xxhash64("node"))
+    leaders = ranked.groupBy("key").agg(F.max_by("node", order).alias("other")).join(members.select("key", F.col("node").alias("other"), F.col("label").alias("its")), ["key", "other"])
+    met = members.join(leaders, "key").where("label != its")
+    best = met.groupBy("node").agg(F.max_by("other", F.struct("n", "key")).alias("other"))
+    return best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
 def _rest(members: DataFrame) -> DataFrame:
     """Every pair of a key whose labels differ: the members outside its commonest label against all others."""
     rest = members.where("label != top").select("key", F.col("node").alias("other"), F.col("label").alias("its"))
-    return _pairs(members.join(rest, "key").where("label != its"))
+    return members.join(rest, "key").where("label != its").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
 def similar_pairs(df: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text", keep: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """The distinct texts' signatures, and pairs (a, b), a <= b, of their smallest ids whose texts are similar."""
-    signatures, pairs = _similar_nodes(df, shingle, similarity, text, keep)
-    of = lambda name: signatures.select(F.col("node").alias(name), F.col("_id").alias(f"id_{name}"))
+    """The distinct texts, and pairs (a, b), a <= b, of their smallest ids whose texts are similar: links that join what
+    all similar pairs join."""
+    texts, pairs = _similar_nodes(df, shingle, similarity, text, keep)
+    of = lambda name: texts.select(F.col("node").alias(name), F.col("_id").alias(f"id_{name}"))
     ids = pairs.join(of("a"), "a").join(of("b"), "b")
-    return signatures, ids.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
+    return texts, ids.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
 
 
 def _similar_nodes(df: DataFrame, shingle: int, similarity: float, text: str, keep: str) -> tuple[DataFrame, DataFrame]:
-    """The distinct texts' signatures, and pairs (a, b) of nodes verified: Jaccard similarity of their sets of shingles.
+    """The distinct texts, and pairs (a, b) of nodes verified: Jaccard similarity of their sets of shingles.
 
-    The pairs join what all similar pairs with a key in common join. The ends of each key are compared with its members
-    first. Keys whose members that leaves apart get further leaders while many comparisons are left; then all pairs of
-    a key that are still apart are compared, however many they are.
+    The pairs join what all similar pairs with a key in common join. Each text is compared with one leader a round, and
+    only keys whose members that leaves apart go on; once few comparisons are left, or after LEADERS rounds, all pairs
+    of a key that are still apart are compared, however many they are.
     """
-    signatures = Written(_signatures(df, shingle, text, keep), "signatures").df
-    shared = Written(_shared(signatures), "shared").df
-    tried = Written(_pairs(shared.select("node", F.explode(F.array("lo", "hi")).alias("other")).where("node != other")), "candidates").df
-    found = _verified(df, signatures, tried, shingle, similarity, text)
-    # The ends of three or fewer make all their pairs.
-    crowded = shared.where("n > 3")
+    texts = Written(_distinct_texts(df, text, keep), "texts").df
+    signatures, shared = _shared(texts, shingle)
+    tried = found = None
     for leaders in range(LEADERS, -1, -1):
-        members = Written(_open(crowded, found), "open").df
-        rows, left = members.agg(F.count("*"), F.sum(F.col("n") - F.col("most"))).first()
-        if not rows:
+        members = Written(_open(shared, found), "open")
+        rows, left = members.df.agg(F.count("*"), F.sum(F.col("n") - F.col("most"))).first()
+        if not rows and found is not None:
             break
-        last = not leaders or left <= BUCKET * rows
-        fresh = Written((_rest(members) if last else _led(members, found)).join(tried, ["a", "b"], "left_anti"), "candidates").df
-        more = _verified(df, signatures, fresh, shingle, similarity, text)
-        found = found.unionByName(more)
+        last = not leaders or (found is not None and left <= BUCKET * rows)
+        fresh = _rest(members.df) if last else _led(members.df, found, LEADERS - leaders)
+        fresh = Written(fresh if tried is None else fresh.join(tried, ["a", "b"], "left_anti"), "candidates").df
+        more = _verified(texts, signatures, fresh, shingle, similarity)
+        found = more if found is None else found.unionByName(more)
+        members.drop()
         if last:
             break
-        tried = tried.unionByName(fresh)
-    return signatures, found
+        tried = fresh if tried is None else tried.unionByName(fresh)
+    return texts, found
 
 
-def _verified(df: DataFrame, signatures: DataFrame, pairs: DataFrame, shingle: int, similarity: float, text: str) -> DataFrame:
-    """Those of the pairs whose texts are so similar."""
+def _verified(texts: DataFrame, signatures: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of the pairs whose texts are so similar: the fingerprints' complete distance drops most others, the sets of
+    shingles decide. A side's shingles are kept from one pair to the next, as pairs come in the order of ``a``."""
     of = lambda name: signatures.select(F.col("node").alias(name), F.col("seg").alias(f"seg_{name}"))
     distance = F.aggregate(F.zip_with("seg_a", "seg_b", lambda x, y: F.bit_count(x.bitwiseXOR(y).cast("long").bitwiseAND(F.lit(LOW_SEGMENT)))), F.lit(0), lambda s, x: s + x)
     near = Written(pairs.join(of("a"), "a").join(of("b"), "b").where(distance <= FARTHEST).select("a", "b"), "near").df
-    asked = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct().join(signatures.select("node", "_k1", "_k2"), "node")
-    texts = df.select(F.col(text).alias("_t"), *text_key(F.col(text))).join(asked, ["_k1", "_k2"]).select("node", "_t").dropDuplicates(["node"])
-    held = Written(texts, "near-texts").df
-    bounded_batches(df.sparkSession)
-    side = lambda name: held.select(F.col("node").alias(name), F.col("_t").alias(f"text_{name}"))
+    asked = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
+    held = Written(texts.join(asked, "node", "left_semi").select("node", "_t"), "near-texts")
+    bounded_batches(texts.sparkSession)
+    side = lambda name: held.df.select(F.col("node").alias(name), F.col("_t").alias(f"text_{name}"))
 
     def run(batches):
+        last, x = None, None
         for batch in batches:
             alike = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.unique(shingle_hashes(x, shingle)), np.unique(shingle_hashes(y, shingle))
+            for a, text_a, text_b in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if a != last:
+                    last, x = a, np.unique(shingle_hashes(text_a, shingle))
+                y = np.unique(shingle_hashes(text_b, shingle))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 alike.append(both >= similarity * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
-    verified = near.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
-    return Written(verified, "similar").df
+    verified = near.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    similar = Written(verified, "similar").df
+    held.drop()
+    return similar
 
 
 def one_of_each(df: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text", keep: str = "doc_id") -> DataFrame:
@@ -292,21 +346,18 @@ def one_of_each(df: DataFrame, shingle: int = 5, similarity: float = 0.8, text:
     smallest ``keep`` stays.
 
     Candidates come from wide SimHash fingerprints by multi-index hashing, with balls over each segment's least certain
-    bits; the shingles' Jaccard similarity is then verified, so no pair below it is joined (of pairs just above it some
+    bits; the shingles' Jaccard similarity is then verified, so no pair below it is joined (of pairs just above it a few
     have no ball in common and are missed; the README has figures). Texts without a word have equal texts as their only
-    duplicates; null counts as empty. Of rows with the same id and text one stays; one id's different texts are told
-    apart, and rows without an id come last.
+    duplicates; null counts as empty. Ids are integers. Of rows with the same id and text one stays; one id's different
+    texts are told apart, and rows without an id come last.
     """
-    signatures, pairs = _similar_nodes(df, shingle, similarity, text, keep)
+    integer_id(df, keep)
+    texts, pairs = _similar_nodes(df, shingle, similarity, text, keep)
     order = F.struct(F.col("_id").isNull(), "_id", "_k1", "_k2")
-    grouped = Written(components(pairs).join(signatures.select("node", "_k1", "_k2", "_id"), "node"), "groups").df
+    grouped = Written(components(pairs).join(texts.select("node", "_k1", "_k2", "_id"), "node"), "groups").df
     best = grouped.groupBy("label").agg(F.min_by("node", order).alias("best"))
-    labels = grouped.join(best, "label").where("node != best").select("node")
+    gone = grouped.join(best, "label").where("node != best").select("node")
+    stays = Written(texts.select("node", "_k1", "_k2", "_id").join(gone, "node", "left_anti").select(F.col("_k1").alias("_l1"), F.col("_k2").alias("_l2"), F.col("_id").alias("_least")), "stays").df
     keyed = df.select(packed(df), F.col(keep).cast("long").alias("_id"), *text_key(F.col(text)))
-    first = keyed.groupBy("_k1", "_k2").agg(F.min("_id").alias("_first"))
-    gone = signatures.join(labels, "node", "left_semi").select("_k1", "_k2")
-    stays = Written(first.join(gone, ["_k1", "_k2"], "left_anti"), "stays").df
-    # No equality that would become a third join key: the texts move once, for join and distinct.
-    same = F.coalesce(F.col("_id").bitwiseXOR(F.col("_first")) == 0, F.col("_id").isNull() & F.col("_first").isNull())
-    kept = keyed.join(stays, ["_k1", "_k2"]).where(same)
-    return kept.dropDuplicates(["_k1", "_k2"]).select("_all.*")
+    kept = keyed.join(stays, (F.col("_k1") == F.col("_l1")) & (F.col("_k2") == F.col("_l2")) & F.col("_id").eqNullSafe(F.col("_least")))
+    return kept.dropDuplicates(["_k1", "_k2", "_id"]).select("_all.*")

@@ -9,10 +9,8 @@ reaches further, which deals its strings to more anchors, until every anchor's n
 an anchor is its only string. Each string learns the smallest document it starts in, and each document removes the
 strings that a smaller one has.
 
-Texts are read once for their anchors. A task packs the anchors of some megabytes of text into a sorted blob for each
-bucket of hashes; an anchor that two documents of those megabytes share is known at once and sends one entry ahead, so a
-common passage costs a bucket one entry for each such stretch of text and not for each document. Copies of one text are
-one document of the smallest id.
+Texts are read once for their anchors, which meet in packed blobs (see ``meeting``), so a common passage costs a bucket
+one entry for each stretch of text and not for each document. Copies of one text are one document of the smallest id.
 """
 
 from __future__ import annotations
@@ -26,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Written, bounded_batches, integer_id, text_key
+from .meeting import BLOBS, bits_for, blob_batch, meet, stretch_blobs
 from .suffixes import suffix_array
 
 LENGTH = 50
@@ -103,103 +102,35 @@ def _place(starts: np.ndarray, counts: np.ndarray, shifts: np.ndarray, sides: np
     return starts << 11 | counts << 6 | shifts << 1 | sides
 
 
-def _packed(*columns: np.ndarray) -> bytes:
-    """Columns byte by byte, as neighbouring values share their high bytes, compressed."""
-    return pa.compress(b"".join(c.view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns), "zstd", asbytes=True)
-
-
-def _unpacked(blob: bytes, n: int, kinds: list[str]) -> list[np.ndarray]:
-    sizes = [np.dtype(k).itemsize for k in kinds]
-    held, at, out = np.frombuffer(pa.decompress(blob, n * sum(sizes), "zstd", asbytes=True), np.uint8), 0, []
-    for kind, size in zip(kinds, sizes, strict=True):
-        out.append(np.ascontiguousarray(held[at : at + n * size].reshape(size, n).T).view(kind).ravel())
-        at += n * size
-    return out
-
-
-_KINDS = ["<u4", "<i8", "<i8"]
-
-
-def _groups(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of sorted keys: where each distinct one begins, and whether more than one row has it."""
-    begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return begin, np.minimum.reduceat(rows, begin) != np.maximum.reduceat(rows, begin)
-
-
-def stretch_blobs(rows: np.ndarray, texts: list[bytes], bits: int) -> list[tuple[int, int, bytes]]:
-    """(bucket, entries, blob) of a stretch of texts. Buckets below 0 hold places that are known to be shared; entries of
-    the others may share their anchor with another stretch, and those of place -1 stand for ones known already."""
+def stretch_entries(rows: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor's hash, row, place) of each run of a stretch of texts."""
     lengths = np.array([len(t) for t in texts])
     ends = np.cumsum(lengths)
     keys, starts, counts, shifts, sides = anchor_runs(b"".join(texts), ends)
     text = np.searchsorted(ends, starts, "right")
-    places = _place(starts - (ends - lengths)[text], counts, shifts, sides)
-    order = np.argsort(keys, kind="stable")
-    keys, owners, places = keys[order], rows[text[order]], places[order]
-    begin, shared = _groups(keys, owners)
-    known = np.repeat(shared, np.diff(begin, append=len(keys)))
-    out = []
-    if known.any():
-        out.append((-1 - int(keys[0] >> np.uint64(64 - bits)) if bits else -1, int(known.sum()), _packed(np.zeros(known.sum(), "<u4"), owners[known], places[known])))
-    ahead = ~known
-    ahead[begin[shared]] = True
-    places = np.where(known, -1, places)[ahead]
-    keys, owners = keys[ahead], owners[ahead]
-    part = (keys >> np.uint64(32 - bits)).astype("<u4")
-    bucket = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-    edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        out.append((int(bucket[a]), b - a, _packed(part[a:b], owners[a:b], places[a:b])))
-    return out
+    return keys, rows[text], _place(starts - (ends - lengths)[text], counts, shifts, sides)
 
 
 def _shared_places(docs: DataFrame, size: int) -> DataFrame:
     """(owner, place) of each run whose anchor two documents have; ``size``: bytes of all texts."""
     parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // BUCKET_BYTES))
-    bits = min(30, (parts * 4 - 1).bit_length())
+    bits = bits_for(parts)
     bounded_batches(docs.sparkSession)
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, texts, held = [], [], 0
-
-        def blobs() -> pa.RecordBatch:
-            made = stretch_blobs(np.array(rows, np.int64), texts, bits)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "n", "blob"])
-
         for batch in batches:
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 rows.append(row)
                 texts.append(text.encode())
                 held += len(texts[-1])
                 if held > STRETCH:
-                    yield blobs()
+                    yield blob_batch(stretch_blobs(*stretch_entries(np.array(rows, np.int64), texts), bits))
                     rows, texts, held = [], [], 0
         if rows:
-            yield blobs()
+            yield blob_batch(stretch_blobs(*stretch_entries(np.array(rows, np.int64), texts), bits))
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, owners, places = [], [], []
-        out = lambda o, p: pa.RecordBatch.from_arrays([pa.array(o), pa.array(p)], names=["owner", "place"])
-        for batch in batches:
-            for bucket, n, blob in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                part, owner, place = _unpacked(blob, n, _KINDS)
-                if bucket < 0:
-                    yield out(owner, place)
-                else:
-                    keys.append(part.astype(np.uint64) | np.uint64(bucket << 32))
-                    owners.append(owner)
-                    places.append(place)
-        if keys:
-            key, owner, place = np.concatenate(keys), np.concatenate(owners), np.concatenate(places)
-            keys, owners, places = [], [], []
-            order = np.argsort(key)
-            key, owner, place = key[order], owner[order], place[order]
-            begin, shared = _groups(key, owner)
-            taken = np.repeat(shared, np.diff(begin, append=len(key))) & (place >= 0)
-            yield out(owner[taken], place[taken])
-
-    blobs = docs.select("_row", "_text").mapInArrow(pack, "bucket int, n int, blob binary")
-    return blobs.repartition(parts, "bucket").mapInArrow(meet, "owner long, place long")
+    return meet(docs.select("_row", "_text").mapInArrow(run, BLOBS), parts)
 
 
 def _neighbourhoods(docs: DataFrame, places: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from eventloom.llm import substrings
+from eventloom.llm import meeting, substrings
 from eventloom.llm.suffixes import suffix_array
 
 
@@ -97,15 +97,15 @@ def test_passes_do_not_matter(monkeypatch):
     assert strings() == whole
 
 
-@pytest.mark.parametrize("bits", [0, 3, 9])
+@pytest.mark.parametrize("bits", [1, 3, 9])
 def test_blobs_keep_what_stretches_share(bits):
     """Places that a stretch knows to be shared, and entries that meet those of others."""
     rng = random.Random(bits)
     passage = bytes(rng.choice(b"abcdefgh") for _ in range(90))
     texts = [bytes(rng.choice(b"abcdefgh") for _ in range(80)) + (passage if i % 3 else b"") for i in range(9)]
     known, ahead = set(), {}
-    for bucket, n, blob in substrings.stretch_blobs(np.arange(9), texts, bits):
-        for key, row, place in zip(*[c.tolist() for c in substrings._unpacked(blob, n, substrings._KINDS)], strict=True):
+    for bucket, n, blob in meeting.stretch_blobs(*substrings.stretch_entries(np.arange(9), texts), bits):
+        for key, row, place in zip(*[c.tolist() for c in meeting.unpack(blob, n, meeting._KINDS if bucket < 0 else meeting._SHORT)], strict=True):
             if bucket < 0:
                 known.add((row, place))
             else:
