@@ -1,89 +1,73 @@
 """Secret scans by a trigram inverted index, in DataFrame operations only.
 
-Each rule is a regular expression. From its mandatory literals a Boolean trigram query is derived: all trigrams of a
-literal, any of the alternatives. The index holds postings (trigram, text) for the trigrams that some query names; a
-text is known by 128 bits of hash, so copies have one posting. Postings are intersected by text, queries evaluated on
-the trigrams found, and only the candidates' texts verified. A rule without a mandatory trigram scans every text in
-the pass that builds the index.
-
-A text travels to the verification only if the index has the rarer trigram of some alternative for it (its driver
-list); all other postings are a few bytes.
+Each rule is a regular expression, from which a Boolean trigram query is derived (see ``trigrams``). The index holds
+postings (trigram, text) for the trigrams that some query names, and is written; a text is known by 128 bits of hash, so
+copies have one posting. The postings of each clause's trigrams are intersected: a text that all of them hold is a
+candidate for the clause's rule, and only candidates are verified with the rule's expression. A rule without a mandatory
+trigram scans every text.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import trigrams
 from .common import Written, text_key
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``value`` is the group whose length must reach ``least``; ``literals`` holds alternatives, one of which every match contains (letters in either case)."""
+    """``value`` is the group whose length must reach ``least``. What ``pattern`` repeats is a class of characters, as the
+    JVM takes stack for each repeat of a group."""
 
     kind: str
     pattern: str
     least: int
     value: int = 0
-    literals: tuple[str, ...] = ()
 
 
 #: The base rules in the order of spans, then the rules that add spans. The run of hexadecimal digits is
 #: written with its least length: runs are maximal either way, and shorter ones are dropped by their length anyway.
 RULES = (
-    Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6, 2, ("password", "passwd", "secret", "token", "apikey", "api_key")),
-    Rule("access", r"AKIA[A-Z0-9]+", 20, 0, ("AKIA",)),
+    Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6, 2),
+    Rule("access", r"AKIA[A-Z0-9]+", 20),
     Rule("hex", r"[0-9a-f]{24,}", 24),
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 40, 0, ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
-    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", 15, 0, ("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-")),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 24, 0, ("eyj",)),
-    Rule("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 20, 0, ("private key-----",)),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 40),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", 15),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 24),
+    Rule("pem", r"-----BEGIN [A-Z\x20]*PRIVATE KEY-----", 20),
 )
 BASE = ("assign", "access", "hex")
 
 
-def trigrams(literal: str) -> list[str]:
-    low = literal.lower()
-    return list(dict.fromkeys(low[i : i + 3] for i in range(len(low) - 2)))
+class Plan:
+    """The rules' queries: ``clauses`` of (rule's number, trigrams), and the numbers of the rules that scan everything."""
 
+    def __init__(self, rules: tuple[Rule, ...] = RULES) -> None:
+        queries = [trigrams.query(r.pattern) for r in rules]
+        self.full = [i for i, q in enumerate(queries) if q == trigrams.ALL]
+        self.clauses = [(i, sorted(c)) for i, q in enumerate(queries) if q != trigrams.ALL for c in sorted(q, key=sorted)]
+        self.names = sorted({t for _, c in self.clauses for t in c})
 
-class Query:
-    """The Boolean trigram queries of all rules over one numbering of their trigrams, as bit masks."""
+    def table(self, spark: SparkSession) -> DataFrame:
+        """(trigram, clause, rule, size): a row for each trigram of each clause, bounded by the rules."""
+        rows = [F.struct(F.lit(t).alias("trigram"), F.lit(n).alias("clause"), F.lit(rule).alias("rule"), F.lit(len(c)).alias("size")) for n, (rule, c) in enumerate(self.clauses) for t in c]
+        return spark.range(1).select(F.inline(F.array(*rows)))
 
-    def __init__(self, rules: tuple[Rule, ...] = RULES) -> None:
-        self.full = [r for r in rules if not any(map(trigrams, r.literals))]
-        self.indexed = [r for r in rules if r not in self.full]
-        self.names = list(dict.fromkeys(t for r in self.indexed for x in r.literals for t in trigrams(x)))
-        if len(self.names) > 62:
-            raise ValueError("more trigrams than one mask holds: give the rules in several calls")
-
-    def mask(self, literal: str) -> int:
-        return sum(1 << self.names.index(t) for t in trigrams(literal))
-
-    def holds(self, rule: Rule, found: Column) -> Column:
-        """Whether the trigrams found answer the rule's query: every trigram of some alternative."""
-        out = F.lit(False)
-        for literal in rule.literals:
-            m = F.lit(self.mask(literal))
-            out = out | (found.bitwiseAND(m) == m)
-        return out
-
-    def found(self, low: Column) -> Column:
-        """The mask of the trigrams that a lower-cased text contains; plain arithmetic, so that it stays in generated code."""
-        out = F.lit(0).cast("long")
-        for i, t in enumerate(self.names):
-            out = out + F.when(F.contains(low, F.lit(t)), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
-        return out
-
-    def driven(self, low: Column) -> Column:
-        """Whether a lower-cased text has the last trigram of some alternative: the lists that carry texts."""
-        out = F.lit(False)
-        for t in sorted({trigrams(x)[-1] for r in self.indexed for x in r.literals}):
-            out = out | F.contains(low, F.lit(t))
-        return out
+
+def postings(texts: DataFrame, plan: Plan) -> DataFrame:
+    """(trigram, _k1, _k2): which texts (``_k1``, ``_k2``, ``_text``) contain which of the plan's trigrams in any case."""
+    held = F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(trigrams.finder(plan.names)), F.lit(1)))
+    return texts.select("_k1", "_k2", F.explode(held).alias("trigram")).distinct()
+
+
+def candidates(index: DataFrame, plan: Plan) -> DataFrame:
+    """(_k1, _k2, _rules): the texts that all posting lists of some clause hold, with their rules' numbers."""
+    met = index.join(F.broadcast(plan.table(index.sparkSession)), "trigram").groupBy("_k1", "_k2", "clause", "rule", "size").agg(F.count("*").alias("n")).where("n = size")
+    return met.groupBy("_k1", "_k2").agg(F.collect_set("rule").alias("_rules"))
 
 
 SPAN = "array<struct<start:int,kind:int,stop:int>>"
@@ -110,10 +94,6 @@ def spans_of(rule: Rule, number: int, text: Column) -> Column:
     return F.when(F.regexp_like(text, F.lit(rule.pattern)), found).otherwise(F.array().cast(SPAN))
 
 
-def _all_spans(rules: list[Rule], every: tuple[Rule, ...], text: Column) -> Column:
-    return F.concat(F.array().cast(SPAN), *[spans_of(r, every.index(r), text) for r in rules])
-
-
 def _joined(spans: Column, rules: tuple[Rule, ...]) -> Column:
     names = F.array(*[F.lit(r.kind) for r in rules])
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["stop"].cast("string"))), ",")
@@ -122,31 +102,28 @@ def _joined(spans: Column, rules: tuple[Rule, ...]) -> Column:
 def scan(df: DataFrame, text: str = "text", keep: dict[str, str] | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The columns that ``keep`` names and ``found``: all spans as structs (start, kind's number, stop), sorted.
 
-    Null texts count as empty. Repeated rows stay; an empty table gives no rows; other columns are ignored.
+    Null texts count as empty, and have no spans. Texts of any length are searched whole. Equal spans of two rules both
+    stay; repeated rows stay; an empty table gives no rows; other columns are ignored.
     """
-    keep = keep or {"doc_id": "doc_id"}
-    query = Query(rules)
+    keep, plan, none = keep or {"doc_id": "doc_id"}, Plan(rules), F.array().cast(SPAN)
     body = F.coalesce(F.col("_text"), F.lit(""))
     held = df.select(*[F.col(a).alias(f"_keep{i}") for i, a in enumerate(keep)], F.col(text).cast("string").alias("_text")).select("*", *text_key(F.col("_text")))
-    low = F.lower(body).alias("_low")
-    written = Written(held.select("_k1", "_k2", low).select("_k1", "_k2", query.found(F.col("_low")).alias("_mask")).where("_mask != 0"), "secret-postings").df
-    numbers = F.filter(F.array(*[F.lit(i) for i in range(len(query.names))]), lambda i: F.getbit("_mask", i) == 1)
-    index = written.select("_k1", "_k2", F.explode(numbers).alias("_trigram"))
-    found = index.groupBy("_k1", "_k2").agg(F.bit_or(F.expr("shiftleft(1L, _trigram)")).alias("_found"))
-    wanted = F.lit(False)
-    for rule in query.indexed:
-        wanted = wanted | query.holds(rule, F.col("_found"))
-    candidates = found.where(wanted).select("_k1", "_k2")
-    texts = held.select("_k1", "_k2", "_text", low).where(query.driven(F.col("_low"))).select("_k1", "_k2", "_text")
-    more = texts.join(candidates, ["_k1", "_k2"], "left_semi").select("_k1", "_k2", _all_spans(query.indexed, rules, body).alias("_more")).where(F.size("_more") > 0).dropDuplicates(["_k1", "_k2"])
-    verified = Written(more, "secret-spans").df
-    joined = held.withColumn("_full", _all_spans(query.full, rules, body)).drop("_text").join(verified, ["_k1", "_k2"], "left")
-    every = F.array_sort(F.concat("_full", F.coalesce("_more", F.array().cast(SPAN))))
-    return joined.select(*[F.col(f"_keep{i}").alias(b) for i, b in enumerate(keep.values())], every.alias("found"))
+    found = [spans_of(rules[i], i, body) for i in plan.full]
+    if plan.clauses:
+        index = Written(postings(held.select("_k1", "_k2", "_text"), plan), "secret-postings")
+        # Written, so that the join of all rows is a join alone: a small table is broadcast, else hot keys may be split.
+        asked = Written(candidates(index.df, plan), "secret-candidates").df
+        index.drop()
+        held = held.join(asked, ["_k1", "_k2"], "left")
+        found += [F.when(F.array_contains("_rules", i), spans_of(rules[i], i, body)).otherwise(none) for i in sorted({i for i, _ in plan.clauses})]
+    return held.select(*[F.col(f"_keep{i}").alias(b) for i, b in enumerate(keep.values())], F.array_sort(F.concat(none, *found)).alias("found"))
 
 
 def report(df: DataFrame, text: str = "text", keep: str = "doc_id", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``keep``, counts of the base kinds, ``base_sha256`` and ``spans`` of each row."""
+    """``keep``, counts of the base kinds, ``base_sha256`` and ``spans`` of each row.
+
+    Nulls, empty and long texts, repeated rows, empty tables and other columns as in ``scan``; a null ``keep`` stays null.
+    """
     found = scan(df, text, {keep: keep}, rules)
     base = F.filter("found", lambda s: s["kind"] < len(BASE))
     count = lambda k: F.size(F.filter("found", lambda s: s["kind"] == k)).cast("long")
