@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -56,6 +57,24 @@ def delete(spark: SparkSession, path: str) -> None:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+_scratch: list[list] = []
+
+
+@contextmanager
+def scratch(*keep: str) -> Iterator[None]:
+    """Drops the tables written inside when it ends well or not, but those of the names in ``keep``."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for table in _scratch.pop():
+            if table.name in keep:
+                if _scratch:
+                    _scratch[-1].append(table)
+            else:
+                table.drop()
+
+
 class Written:
     """A table written to the shared folder: its lineage ends there, so a lost executor costs a read, no recomputation.
 
@@ -63,7 +82,9 @@ class Written:
     """
 
     def __init__(self, df: DataFrame, name: str) -> None:
-        self.spark = df.sparkSession
+        self.spark, self.name = df.sparkSession, name
+        if _scratch:
+            _scratch[-1].append(self)
         self.path = fresh_path(self.spark, name)
         before = self.spark.conf.get(CLEANUP, None)
         self.spark.conf.set(CLEANUP, "true")

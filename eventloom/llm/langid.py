@@ -11,7 +11,7 @@ sampled documents has it and that share is not far below the best language's.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -52,38 +52,47 @@ _cache: dict[str, np.ndarray] = {}
 
 
 def _folded(text: str) -> np.ndarray:
-    """Code points, lower-cased, each run of others than letters as one space, a space at both ends."""
+    """Code points, lower-cased, anything but letters as a space."""
     if "letters" not in _cache:
         _cache["letters"] = _letters()
-    points = _cache["letters"][np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
-    blank = points == 32
-    keep = ~blank
-    keep[1:] |= ~blank[:-1]
-    return np.concatenate([[32], points[keep], [32]]).astype(np.uint64)
-
-
-def ngram_hashes(text: str) -> np.ndarray:
-    """64-bit hashes of the n-grams of a text's letters, repeats included; an n-gram may have a space at its ends only."""
-    points = _folded(text)
-    blank = points == 32
-    out = []
-    for n in SIZES:
-        m = len(points) - n + 1
-        if m <= 0:
-            continue
-        code = np.full(m, n, np.uint64)
-        inner = np.zeros(m, bool)
-        for k in range(n):
-            code = code * np.uint64(_GOLDEN) + points[k : k + m]
-            if 0 < k < n - 1:
-                inner |= blank[k : k + m]
-        if n == 2:
-            inner = blank[:m] & blank[1 : 1 + m]
-        code = code[~inner]
-        code ^= code >> np.uint64(31)
-        code *= np.uint64(_MIX)
-        out.append(code ^ (code >> np.uint64(29)))
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+    return _cache["letters"][np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
+
+
+def ngram_hashes(text: str) -> Iterator[np.ndarray]:
+    """64-bit hashes of the n-grams of a text's letters, repeats included, some at a time.
+
+    Runs of other characters count as one space, and there is one at both ends; an n-gram may have a space at its ends
+    only. Each pass goes on from the last points of the one before, so passes change nothing.
+    """
+    held = np.array([32], np.uint64)
+    for at in range(0, max(1, len(text)), BLOCK):
+        points = np.concatenate([_folded(text[at : at + BLOCK]), [32] if at + BLOCK >= len(text) else []]).astype(np.uint64)
+        blank = points == 32
+        keep = ~blank
+        keep[1:] |= ~blank[:-1]
+        keep[0] |= held[-1] != 32
+        points, before = np.concatenate([held, points[keep]]), len(held)
+        blank = points == 32
+        out = [np.empty(0, np.uint64)]
+        for n in SIZES:
+            first = max(0, before - n + 1)
+            m = len(points) - n + 1 - first
+            if m <= 0:
+                continue
+            code = np.full(m, n, np.uint64)
+            inner = np.zeros(m, bool)
+            for k in range(n):
+                code = code * np.uint64(_GOLDEN) + points[first + k : first + k + m]
+                if 0 < k < n - 1:
+                    inner |= blank[first + k : first + k + m]
+            if n == 2:
+                inner = blank[first : first + m] & blank[first + 1 : first + 1 + m]
+            code = code[~inner]
+            code ^= code >> np.uint64(31)
+            code *= np.uint64(_MIX)
+            out.append(code ^ (code >> np.uint64(29)))
+        yield np.concatenate(out)
+        held = points[-(max(SIZES) - 1) :]
 
 
 @dataclass
@@ -114,8 +123,7 @@ class Filters:
         """The number of n-grams and, for each language, how many its filter contains."""
         total, found = 0, np.zeros(len(self.languages))
         bits = int(self.slots.shape[0]).bit_length() - 1
-        for at in range(0, max(1, len(text)), BLOCK):
-            hashes = ngram_hashes(text[at : at + BLOCK])
+        for hashes in ngram_hashes(text):
             total += len(hashes)
             where = self.slots_of(hashes, bits)
             for word in range(self.slots.shape[1]):
@@ -153,8 +161,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(df: DataFrame, text: str = "text", lang: str = "lang", keep: str = "doc_id", per_language: int = PER_LANGUAGE) -> Filters:
-    """Filters from the rows of ``df`` with a language and a text, ``per_language`` each at most, chosen by hash.
+def members(df: DataFrame, text: str = "text", lang: str = "lang", keep: str = "doc_id", per_language: int = PER_LANGUAGE) -> dict[str, np.ndarray]:
+    """Each language's n-grams (hashes) from the rows of ``df`` with a language and a text, ``per_language`` each at most, chosen by hash.
 
     What comes to the driver is the n-grams over the share, a number that texts' lengths and not the corpus bound.
     """
@@ -170,7 +178,7 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", keep: str = "do
     def grams(batches):
         for batch in batches:
             for lang_, text_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = np.unique(np.concatenate([np.unique(ngram_hashes(text_[at : at + BLOCK])) for at in range(0, max(1, len(text_)), BLOCK)]))
+                found = np.unique(np.concatenate([np.unique(h) for h in ngram_hashes(text_)]))
                 yield pa.RecordBatch.from_arrays([pa.array([lang_] * len(found), pa.string()), pa.array(found.view(np.int64))], names=["lang", "gram"])
 
     counts = sample.repartition("_lang", "_by").select("_lang", "_text").mapInArrow(grams, "lang string, gram long").groupBy("lang", "gram").count()
@@ -178,7 +186,11 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", keep: str = "do
     shares = counts.withColumn("share", F.col("count") / size[F.col("lang")]).where((F.col("share") >= LEAST_SHARE) & (F.col("count") >= 2))
     best = shares.groupBy("gram").agg(F.max("share").alias("best"))
     taken = shares.join(best, "gram").where(F.col("share") >= LEAST_RATIO * F.col("best")).select("lang", "gram").toPandas()
-    return Filters.build({language: taken.loc[taken["lang"] == language, "gram"].to_numpy(np.int64).view(np.uint64) for language in sizes})
+    return {language: taken.loc[taken["lang"] == language, "gram"].to_numpy(np.int64).view(np.uint64) for language in sizes}
+
+
+def train(df: DataFrame, text: str = "text", lang: str = "lang", keep: str = "doc_id", per_language: int = PER_LANGUAGE) -> Filters:
+    return Filters.build(members(df, text, lang, keep, per_language))
 
 
 def predict(df: DataFrame, filters: Filters, text: str = "text", keep: dict[str, str] | None = None) -> DataFrame:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, bounded_batches, integer_id, map_texts, packed, text_key
+from .common import Written, bounded_batches, integer_id, map_texts, packed, scratch, text_key
 from .components import components
 from .meeting import BLOBS, bits_for, blob_batch, meet, stretch_blobs
 
@@ -293,22 +293,23 @@ def _similar_nodes(df: DataFrame, shingle: int, similarity: float, text: str, ke
     of a key that are still apart are compared, however many they are.
     """
     texts = Written(_distinct_texts(df, text, keep), "texts").df
-    signatures, shared = _shared(texts, shingle)
-    tried = found = None
-    for leaders in range(LEADERS, -1, -1):
-        members = Written(_open(shared, found), "open")
-        rows, left = members.df.agg(F.count("*"), F.sum(F.col("n") - F.col("most"))).first()
-        if not rows and found is not None:
-            break
-        last = not leaders or (found is not None and left <= BUCKET * rows)
-        fresh = _rest(members.df) if last else _led(members.df, found, LEADERS - leaders)
-        fresh = Written(fresh if tried is None else fresh.join(tried, ["a", "b"], "left_anti"), "candidates").df
-        more = _verified(texts, signatures, fresh, shingle, similarity)
-        found = more if found is None else found.unionByName(more)
-        members.drop()
-        if last:
-            break
-        tried = fresh if tried is None else tried.unionByName(fresh)
+    with scratch("similar"):
+        signatures, shared = _shared(texts, shingle)
+        tried = found = None
+        for leaders in range(LEADERS, -1, -1):
+            members = Written(_open(shared, found), "open")
+            rows, left = members.df.agg(F.count("*"), F.sum(F.col("n") - F.col("most"))).first()
+            if not rows and found is not None:
+                break
+            last = not leaders or (found is not None and left <= BUCKET * rows)
+            fresh = _rest(members.df) if last else _led(members.df, found, LEADERS - leaders)
+            fresh = Written(fresh if tried is None else fresh.join(tried, ["a", "b"], "left_anti"), "candidates").df
+            more = _verified(texts, signatures, fresh, shingle, similarity)
+            found = more if found is None else found.unionByName(more)
+            members.drop()
+            if last:
+                break
+            tried = fresh if tried is None else tried.unionByName(fresh)
     return texts, found
 
 

@@ -23,12 +23,42 @@ def test_many_languages_and_false_positives():
         assert all(((filters.slots[at, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).all() for at in filters.slots_of(members[name], bits))
 
 
-def test_blocks_change_little(monkeypatch):
-    filters = langid.Filters.build({"a": np.unique(langid.ngram_hashes("hello world")), "b": np.unique(langid.ngram_hashes("bonjour monde"))})
-    text = "hello world " * 400
-    whole = filters.predict(text)
-    monkeypatch.setattr(langid, "BLOCK", 64)
-    assert whole[0] == filters.predict(text)[0] == "a" and abs(whole[1] - filters.predict(text)[1]) < 0.1
+def grams(text):
+    return np.concatenate(list(langid.ngram_hashes(text)))
+
+
+def plain_grams(text):
+    """n-grams of each word between spaces, as strings, and pairs across words never."""
+    words = "".join(c.lower() if c.isalpha() else " " for c in text).split()
+    return [f" {w} "[i : i + n] for w in words for n in langid.SIZES for i in range(len(w) + 3 - n)]
+
+
+def test_passes_change_nothing(monkeypatch):
+    text = "Hello,  world! Été 12 ab" * 40 + "  x"
+    whole = grams(text)
+    assert len(whole) == len(plain_grams(text)) and len(np.unique(whole)) == len(set(plain_grams(text)))
+    for block in (1, 7, 64):
+        monkeypatch.setattr(langid, "BLOCK", block)
+        assert np.array_equal(np.sort(grams(text)), np.sort(whole))
+
+
+def test_filters_against_exact_sets(spark, some, texts):
+    """Filters hold all members, as few others as they say, and decide as the exact sets do."""
+    members = langid.members(some)
+    filters, held = langid.Filters.build(members), {k: set(v.tolist()) for k, v in members.items()}
+    others = np.random.default_rng(3).integers(0, 1 << 63, 20_000, dtype=np.uint64)
+    bits = int(filters.slots.shape[0]).bit_length() - 1
+    has = lambda h, i: np.all([(filters.slots[at, i // 64] >> np.uint64(i % 64)) & np.uint64(1) for at in filters.slots_of(h, bits)], axis=0)
+    for i, language in enumerate(filters.languages):
+        assert has(members[language], i).all() and abs(has(others, i).mean() - filters.false[i]) < 0.01
+    for _, text in texts:
+        found = grams(text).tolist()
+        exact = {k: sum(g in v for g in found) / max(1, len(found)) for k, v in held.items()}
+        pred, score = filters.predict(text)
+        if found:
+            assert abs(score - exact[pred]) < 0.03 and exact[pred] >= max(exact.values()) - 0.03
+        else:
+            assert (pred, score) == (langid.UNKNOWN, 0.0)
 
 
 def test_odd(odd, none):
