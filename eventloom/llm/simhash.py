@@ -9,12 +9,14 @@ same components with a number of rows in proportion to the fingerprints.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Written, bounded_batches, integer_id, map_texts, packed, scratch, text_key
@@ -152,8 +154,10 @@ SEGMENTS = WORDS * 64 // SEGMENT_BITS
 STRETCH = 2048
 KEYS_A_TASK = 1 << 20
 
-#: Rounds of leaders before all that is left of a key is compared: they save comparisons, none is left out.
-LEADERS = 3
+#: Rounds of leaders before the texts of keys that are still apart are compared by their rare shingles.
+LEADERS = 2
+#: Ratio of the classes of numbers of shingles.
+GROW = 1.05
 
 _SUBSETS = ((np.arange(1 << LOOSE_BITS)[:, None] >> np.arange(LOOSE_BITS)) & 1).astype(np.float32)
 
@@ -247,33 +251,77 @@ def _shared(texts: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
 
 
 def _open(shared: DataFrame, found: DataFrame | None) -> DataFrame:
-    """The members of the keys whose members aren't all joined yet, with their ``label``s, the key's commonest, ``top``,
-    its share ``most`` and the number of members ``n``: ``n * (n - most)`` bounds the comparisons that are left."""
+    """The members of the keys whose members aren't all joined yet, with their ``label``s, the number of members ``n``,
+    the key's commonest label ``top`` and how many have it (``most``)."""
     of = shared.withColumn("label", F.col("node")) if found is None else shared.join(components(found), "node", "left").withColumn("label", F.coalesce("label", "node"))
     each = of.groupBy("key", "label").agg(F.count("*").alias("c"))
     keys = each.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("top"), F.max("c").alias("most"), F.sum("c").alias("n"), F.count("*").alias("parts")).where("parts > 1")
     return of.join(keys.drop("parts"), "key")
 
 
-def _led(members: DataFrame, found: DataFrame | None, turn: int) -> DataFrame:
-    """One comparison a text at most: in the largest of its keys where it isn't joined to the leader, with the leader.
+def _led(members: DataFrame) -> DataFrame:
+    """One comparison a text at most: with the most central of the leaders of its keys that it isn't joined to.
 
-    A key's leader is its smallest member, then the one of most pairs, then any other by hash: one may lead in vain.
+    A key's leader is the member that meets most others of other labels over all its keys: where near copies vary one
+    text in ways of their own, that is the text itself or what comes nearest to it.
     """
-    ranked, order = members, F.xxhash64(F.lit(turn), F.col("node")) if turn else -F.col("node")
-    if turn == 1 and found is not None:
-        degrees = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-        ranked, order = members.join(degrees, "node", "left"), F.struct(F.coalesce("degree", F.lit(0)), F.xxhash64("node"))
-    leaders = ranked.groupBy("key").agg(F.max_by("node", order).alias("other")).join(members.select("key", F.col("node").alias("other"), F.col("label").alias("its")), ["key", "other"])
-    met = members.join(leaders, "key").where("label != its")
-    best = met.groupBy("node").agg(F.max_by("other", F.struct("n", "key")).alias("other"))
-    return best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    others = F.col("n") - F.when(F.col("label") == F.col("top"), F.col("most")).otherwise(1)
+    central = members.groupBy("node").agg(F.sum(others).alias("met"))
+    leaders = members.join(central, "node").groupBy("key").agg(F.max(F.struct("met", F.col("node").alias("other"), F.col("label").alias("its"))).alias("leader"))
+    best = members.join(leaders, "key").where("label != leader.its").groupBy("node").agg(F.max("leader").alias("leader"))
+    return best.select(F.least("node", "leader.other").alias("a"), F.greatest("node", "leader.other").alias("b")).distinct()
+
+
+def _rest(texts: DataFrame, members: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """A superset of the similar pairs of different labels among all texts of open keys, by prefixes of rare shingles.
+
+    With every text's shingles in one order, the rarest first, the first shingle that two texts share leaves at most what
+    follows it to be shared. So it stands at place i <= x - t + 1 of a text of x shingles that must share t with the
+    other: (x + y) * similarity / (1 + similarity) or more, y being the other's number. Numbers are told apart by classes
+    of GROW, and the larger text looks for smaller ones of each class with the t that the class needs at least. Shingles
+    that no other text has take places and need no rows. Texts that look alike but aren't have own shingles there, so
+    what meets is in proportion to what is similar.
+    """
+    labels = members.select("node", "label").distinct()
+    asked = texts.join(labels, "node", "left_semi")
+    size = asked.agg(F.sum(F.octet_length("_t").cast("long"))).first()[0] or 0
+    parts = max(texts.sparkSession.sparkContext.defaultParallelism, -(-size // (6 * KEYS_A_TASK)))
+    bits = bits_for(parts)
+    bounded_batches(texts.sparkSession)
 
+    def run(batches):
+        nodes, held, entries = [], [], 0
 
-def _rest(members: DataFrame) -> DataFrame:
-    """Every pair of a key whose labels differ: the members outside its commonest label against all others."""
-    rest = members.where("label != top").select("key", F.col("node").alias("other"), F.col("label").alias("its"))
-    return members.join(rest, "key").where("label != its").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+        def work() -> pa.RecordBatch:
+            sizes = np.array([len(h) for h in held], np.int64)
+            return blob_batch(stretch_blobs(np.concatenate(held), np.repeat(np.array(nodes, np.int64), sizes), np.repeat(sizes, sizes), bits))
+
+        for batch in batches:
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                nodes.append(node)
+                held.append(np.unique(shingle_hashes(text, shingle)))
+                entries += len(held[-1])
+                if entries > KEYS_A_TASK:
+                    yield work()
+                    nodes, held, entries = [], [], 0
+        if nodes:
+            yield work()
+
+    met = Written(meet(asked.select("node", "_t").mapInArrow(run, BLOBS), parts, True).select("key", F.col("owner").alias("node"), F.col("place").alias("size")), "shingles").df
+    common = met.join(met.groupBy("key").agg(F.count("*").alias("texts")), "key")
+    share = lambda x: F.ceil(x - F.lit(1e-6))
+    own = W.partitionBy("node")
+    at = F.row_number().over(own.orderBy("texts", "key")) + F.col("size") - F.count("*").over(own)
+    ranked = common.withColumn("at", at).where(F.col("at") <= F.col("size") - share(F.col("size") * similarity) + 1).join(labels, "node")
+    kept = Written(ranked.withColumn("class", F.floor(F.log(F.col("size").cast("double")) / math.log(GROW)).cast("int")).select("key", "node", "size", "label", "at", "class"), "prefixes").df
+    both = similarity / (1 + similarity)
+    smaller = kept.where(F.col("at") <= F.col("size") - share(F.col("size") * 2 * both) + 1).select("key", "class", F.col("node").alias("other"), F.col("size").alias("less"), F.col("label").alias("its"))
+    reach = math.ceil(-math.log(similarity) / math.log(GROW)) + 1
+    least = F.greatest(F.pow(F.lit(GROW), F.col("class") - F.col("down")), F.col("size") * similarity)
+    larger = kept.withColumn("down", F.explode(F.sequence(F.lit(0), F.lit(reach)))).where(F.col("at") <= F.col("size") - share((F.col("size") + least) * both) + 1)
+    larger = larger.select("key", (F.col("class") - F.col("down")).alias("class"), "node", "size", "label")
+    pairs = larger.join(smaller, ["key", "class"]).where("label != its and less <= size and less >= size * " + repr(similarity - 1e-9))
+    return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
 def similar_pairs(df: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text", keep: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -289,26 +337,20 @@ def _similar_nodes(df: DataFrame, shingle: int, similarity: float, text: str, ke
     """The distinct texts, and pairs (a, b) of nodes verified: Jaccard similarity of their sets of shingles.
 
     The pairs join what all similar pairs with a key in common join. Each text is compared with one leader a round, and
-    only keys whose members that leaves apart go on; once few comparisons are left, or after LEADERS rounds, all pairs
-    of a key that are still apart are compared, however many they are.
+    only keys whose members that leaves apart go on; the texts of those are compared by their rare shingles.
     """
     texts = Written(_distinct_texts(df, text, keep), "texts").df
     with scratch("similar"):
         signatures, shared = _shared(texts, shingle)
         tried = found = None
-        for leaders in range(LEADERS, -1, -1):
+        for turn in range(LEADERS + 1):
             members = Written(_open(shared, found), "open")
-            rows, left = members.df.agg(F.count("*"), F.sum(F.col("n") - F.col("most"))).first()
-            if not rows and found is not None:
+            if members.df.isEmpty() and found is not None:
                 break
-            last = not leaders or (found is not None and left <= BUCKET * rows)
-            fresh = _rest(members.df) if last else _led(members.df, found, LEADERS - leaders)
+            fresh = _rest(texts, members.df, shingle, similarity) if turn == LEADERS else _led(members.df)
             fresh = Written(fresh if tried is None else fresh.join(tried, ["a", "b"], "left_anti"), "candidates").df
             more = _verified(texts, signatures, fresh, shingle, similarity)
             found = more if found is None else found.unionByName(more)
-            members.drop()
-            if last:
-                break
             tried = fresh if tried is None else tried.unionByName(fresh)
     return texts, found
 
