@@ -71,10 +71,14 @@ def weight_names(weights: Any) -> dict[str, str]:
 
 
 class Counts:
-    """Conditions of each node's three counters, and each node's mask. A total of None counts every event."""
+    """Conditions of each node's three counters, and each node's mask. A total of None counts every event.
 
-    def __init__(self, ctx: Context, selection: Cut) -> None:
-        self.ctx, self.rows = ctx, []
+    With ``projected`` they refer to columns of the cuts' own booleans, ``leaves``, which are to be projected first: what
+    is counted then grows with the number of cuts and not with their expressions.
+    """
+
+    def __init__(self, ctx: Context, selection: Cut, projected: bool = False) -> None:
+        self.ctx, self.rows, self.projected, self.leaves = ctx, [], projected, []
         self.mask = self._visit(selection, None, None)
         self.rows[0] = (selection, self.mask, self.mask, None)
 
@@ -85,7 +89,11 @@ class Counts:
             value = self.ctx.compile(cut.formula)
         if value.kind != BOOL or value.depth:
             raise BadCutflow(f"cut {cut.label!r} is not one boolean an event")
-        return F.coalesce(value.column, F.lit(False)) & alive()
+        own = F.coalesce(value.column, F.lit(False)) & alive()
+        if not self.projected:
+            return own
+        self.leaves.append(own.alias(f"__cut{len(self.leaves)}"))
+        return F.col(f"__cut{len(self.leaves) - 1}")
 
     def _visit(self, cut: Cut, current: Column | None, within: str | None) -> Column:
         """``current`` is the mask that an enclosing All has reached; it narrows what an Any's children count."""
@@ -146,13 +154,16 @@ class CutFlow(Stage):
         return ctx.with_frame(ctx.df.select(*[F.col("`" + c.replace("`", "``") + "`") for c in others], self.mask(ctx).alias(ALIVE)))
 
     def collect(self, ctx: Context) -> DataFrame:
-        rows = Counts(ctx, self.selection).rows
+        counts = Counts(ctx, self.selection, projected=True)
+        rows = counts.rows
         labels = [UNWEIGHTED, *self.weights]
         weights = {}
         for label, variable in self.weights.items():
             value = ctx.compile(variable)
             number = as_float(value.column, value.kind)
             weights[label] = F.when(is_mc(), F.when(alive() & ~F.isnan(number), number).otherwise(0.0)).otherwise(1.0)
+        events = ctx.df.select(DATASET, ALIVE, *counts.leaves, *[w.alias(f"__w{i}") for i, w in enumerate(weights.values())])
+        weights = {label: F.col(f"__w{i}") for i, label in enumerate(weights)}
         sums = []
         for i, (_, *conditions) in enumerate(rows):
             for counter, condition in zip(COUNTERS, conditions, strict=True):
@@ -160,7 +171,7 @@ class CutFlow(Stage):
                 sums.append(F.count(counted).alias(f"c{i}_{counter}_{UNWEIGHTED}"))
                 for label, weight in weights.items():
                     sums.append(F.coalesce(F.sum(weight if condition is None else F.when(condition, weight)), F.lit(0.0)).alias(f"c{i}_{counter}_{label}"))
-        sums_of = ctx.df.groupBy(DATASET).agg(*sums)
+        sums_of = events.groupBy(DATASET).agg(*sums)
         lines = []
         for i, (cut, *_) in enumerate(rows):
             values = [F.col(f"`c{i}_{counter}_{label}`").alias(f"{counter}_{label}") for counter in COUNTERS for label in labels]

@@ -17,6 +17,7 @@ import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventloom.functions.expressions import compile_expression
 from eventloom.operators.base import ALIVE, DATASET, EVENTTYPE, Context
 from eventloom.operators.skim import FILE
 
@@ -96,13 +97,16 @@ def read_datasets(path: str) -> list[Dataset]:
 def as_events(spark: SparkSession, datasets: list[Dataset], source: SourcePlugin | None = None, most: int | None = None) -> Context:
     """All datasets as one frame; ``most`` limits the events read of each, for trials."""
     frames = []
+    # Names that stand for the same column everywhere stay names; others become columns of each dataset.
+    aliases = {k: v for d in datasets for k, v in d.aliases.items() if all(o.aliases.get(k) == v for o in datasets)}
     for d in datasets:
         df = (source or get_source(d.format, d.options)).open(spark, d.files)
+        own = {k: v for k, v in d.aliases.items() if k not in aliases}
+        if taken := own.keys() & set(df.columns):
+            raise ValueError(f"dataset {d.name!r}: {sorted(taken)} are columns as well as aliases")
+        df = df.select("*", *[compile_expression(v, df.schema, {}).column.alias(k) for k, v in own.items()])
         df = df.select("*", F.lit(d.name).alias(DATASET), F.lit(d.eventtype).alias(EVENTTYPE), F.lit(True).alias(ALIVE), F.input_file_name().alias(FILE))
         frames.append(df.limit(most) if most is not None else df)
-    aliases: dict[str, str] = {}
-    for d in datasets:
-        aliases |= d.aliases
     united = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
     return Context(united, aliases, tuple(d.name for d in datasets))
 

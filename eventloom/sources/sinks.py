@@ -31,11 +31,22 @@ def formats(config: Any) -> list[dict]:
     return out
 
 
+#: Rows of a table that one file on the driver takes.
+MOST_ROWS = 2_000_000
+
+
+def _bounded(df: DataFrame, name: str) -> Any:
+    frame = df.limit(MOST_ROWS + 1).toPandas()
+    if len(frame) > MOST_ROWS:
+        raise ValueError(f"{name} has more than {MOST_ROWS} rows; write it as one of {sorted(FOLDERS)}")
+    return frame
+
+
 def write_table(df: DataFrame, out_dir: str, name: str, config: Any = None) -> list[str]:
-    """Writes a result table in each format; a format that cannot be written is reported and left out.
+    """Writes a result table in each format; one whose writer is missing is reported and left out, other failures raise.
 
-    Result tables are a row for each bin or cut, so formats of one file go through the driver; columnar formats are
-    written by Spark.
+    Result tables are a row for each bin or cut, so formats of one file go through the driver, up to MOST_ROWS of them;
+    columnar formats are written by Spark.
     """
     os.makedirs(out_dir, exist_ok=True)
     made, frame = [], None
@@ -48,15 +59,17 @@ def write_table(df: DataFrame, out_dir: str, name: str, config: Any = None) -> l
             if kind in FOLDERS:
                 df.write.mode("overwrite").options(**options).format(kind).save(path)
             else:
-                frame = df.toPandas() if frame is None else frame
-                writer = getattr(frame, "to_" + WRITERS.get(kind, kind))
+                frame = _bounded(df, name) if frame is None else frame
+                writer = getattr(frame, "to_" + WRITERS.get(kind, kind), None)
+                if writer is None:
+                    raise ImportError(f"no writer of {extension}")
                 if kind == "csv":
                     options = {"index": False} | options
                 if WRITERS.get(kind) == "hdf":
                     options = {"key": "df", "mode": "w"} | options
                 writer(path, **options)
             made.append(path)
-        except (AttributeError, ImportError, TypeError, ValueError) as e:
+        except ImportError as e:
             print(f"cannot write {path}: {e}")
     return made
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from eventloom.operators.base import events
+from eventloom.operators.base import Context, events
 from eventloom.operators.binned import BinnedDataframe, BuildAghast
 from eventloom.operators.binning import BadBinning, arithmetic, dimensions, edges_of
 from eventloom.operators.explode import explode_events
@@ -96,3 +96,15 @@ def test_skim(ctx):
     got = EventByEventDataframe("s", collections=["v", "k"], mask="w > 1").collect(ctx)
     assert got.columns == ["dataset", "v", "k"] and got.count() == 4
     assert EventByEventDataframe("s", collections="v", flatten=False).collect(ctx).count() == 4
+
+
+def test_dense_bins_of_datasets_without_binned_events(spark):
+    """Empty arrays and failed events leave a dataset its bins, from one scan; categories multiply up to a limit."""
+    rows_ = [("mc1", "mc", True, [1.0], "k"), ("mc2", "mc", True, [], "k"), ("mc3", "mc", False, [2.0], "l"), ("data", "data", True, None, "l")]
+    ctx = Context(spark.createDataFrame(rows_, "dataset string, eventtype string, __alive boolean, v array<double>, cat string"))
+    table = BinnedDataframe("t", binning=[{"in": "v", "bins": {"edges": [0, 5]}}], weights="v")
+    got = {(r[0], r[1]): tuple(r[2:]) for r in table.collect(ctx).collect()}
+    assert len(got) == 12 and got["mc1", "[0.0, 5.0)"] == (1, 1.0, 1.0) and got["mc2", "[0.0, 5.0)"] == got["mc3", "[0.0, 5.0)"] == (0, 0.0, 0.0) and got["data", "[0.0, 5.0)"] == (0, None, None)
+    assert table.collect(ctx)._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    both = BinnedDataframe("t", binning=[{"in": "cat"}, {"in": "v", "bins": {"edges": [0, 5]}}])
+    assert [tuple(r) for r in both.collect(ctx).where("n > 0").collect()] == [("mc1", "k", "[0.0, 5.0)", 1)] and both.collect(ctx).count() == 3

@@ -120,3 +120,25 @@ def test_streaming_table(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert seen[-1] == [("d", "[0.0, 4.0)", 2), ("d", "[4.0, inf)", 2)]
+
+
+def test_aliases_of_each_dataset(spark, tmp_path):
+    """A name may stand for another column in each dataset."""
+    spark.createDataFrame([(1.0, 5.0)], "a_pt double, m double").write.parquet(str(tmp_path / "a"))
+    spark.createDataFrame([(2.0, 6.0)], "b_pt double, m double").write.parquet(str(tmp_path / "b"))
+    books = [Dataset("A", [str(tmp_path / "a")], aliases={"pt": "a_pt", "mass": "m"}), Dataset("B", [str(tmp_path / "b")], aliases={"pt": "b_pt", "mass": "m"})]
+    ctx = Define("d", variables=[{"out": "pt * 2 + mass"}]).apply(as_events(spark, books))
+    assert {r["dataset"]: r["out"] for r in ctx.df.select("dataset", "out").collect()} == {"A": 7.0, "B": 10.0}
+    with pytest.raises(ValueError, match="as well as aliases"):
+        as_events(spark, [books[0], Dataset("C", [str(tmp_path / "a")], aliases={"m": "a_pt"})])
+
+
+def test_failed_tables_raise(spark, tmp_path, monkeypatch):
+    from eventloom.sources import sinks
+
+    table = spark.createDataFrame([(1, 0.1), (2, 0.2)], "a int, b double")
+    with pytest.raises(TypeError):
+        write_table(table, str(tmp_path), "t", {"extension": "csv", "no_such_option": 1})
+    monkeypatch.setattr(sinks, "MOST_ROWS", 1)
+    with pytest.raises(ValueError, match="more than 1 rows"):
+        write_table(table, str(tmp_path), "t", "csv")
