@@ -229,6 +229,17 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     return sorted({(kind, *m.span()) for kind, mark, pattern in GENERATORS if marks[mark] for m in pattern.finditer(text)}, key=lambda s: (s[1], s[2], s[0]))
 
 
+def _covered(spans: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
+    starts, ends = [], []
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 def more_spans(text: str, base: list[tuple[str, int, int]], model: Boosted, limits: dict[str, float]) -> list[tuple[str, int, int]]:
     """The candidates over their kind's threshold that overlap no base span and no likelier candidate."""
     found = candidates(text)
@@ -236,15 +247,14 @@ def more_spans(text: str, base: list[tuple[str, int, int]], model: Boosted, limi
         return []
     odds = model.probability(np.array([features(text, *s) for s in found]))
     taken: list[tuple[str, int, int]] = []
-    held = sorted((a, b) for _, a, b in base)
-    starts = [a for a, _ in held]
+    # What is covered already, as stretches that don't overlap: only the last that begins before a span ends can meet it.
+    starts, ends = _covered(base)
     over = [s for p, s in sorted(zip(odds, found, strict=True), key=lambda z: (-z[0], z[1][1])) if p >= limits[s[0]]]
     for kind, a, b in over:
         i = bisect.bisect_left(starts, b)
-        if not any(y > a for _, y in held[max(0, i - 8) : i]):
-            j = bisect.bisect_left(held, (a, b))
-            held.insert(j, (a, b))
-            starts.insert(j, a)
+        if not i or ends[i - 1] <= a:
+            starts.insert(i, a)
+            ends.insert(i, b)
             taken.append((kind, a, b))
     order = {k: n for n, k in enumerate(MORE_KINDS)}
     return sorted(taken, key=lambda s: (order[s[0]], s[1]))

@@ -6,6 +6,8 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import pytest
+
 from eventloom.llm import pii
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -65,3 +67,12 @@ def test_odd(odd, none):
     rows = pii.find(odd).collect()
     assert len(rows) == odd.count() and pii.find(none).count() == 0
     assert next((r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) for r in rows if r["doc_id"] == 12) == (1, 1, 1, 1)
+
+
+@pytest.mark.parametrize("n", [1, 3, 9, 12, 200])
+def test_added_spans_overlap_nothing(n):
+    """However many base spans lie inside another one."""
+    text = "my SSN: x@" + "1.1.1.1." * n + "SSN.219-45-6781.com and SSN: 219-45-6782 too"
+    base = pii.base_spans(text)
+    more = pii.more_spans(text, base, *pii.trained())
+    assert all(b <= c or d <= a for _, a, b in base for _, c, d in more) and len(more) == 1
