@@ -1,8 +1,8 @@
 """Media columns: content-addressed payloads in tar shards.
 
-Each payload is stored once a shard under its SHA-256 as a PNG of 8-bit grey samples, 192 a row. Rows carry digest,
-shard, offset and length; the catalogue names one place for each digest. Image columns come from range reads of the
-header alone; samples are read back by range where they are needed.
+Each distinct payload is stored once under its SHA-256 as a PNG of 8-bit grey samples, 192 a row: payloads are told
+apart by hash before any is written. Rows carry digest, shard, offset and length. Image columns come from range reads of the
+header alone; samples are read back by range where they are needed, each stretch of a shard by a task of its own.
 
 A shard is written by one task under a name of its own (partition, attempt and a random part). Rows name a shard only
 once its task has ended well and their table is written, so what a lost or repeated task leaves behind is never read.
@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs as arrow_fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Written, bounded_batches, fresh_path
@@ -32,6 +32,10 @@ WIDTH = 192
 PAD = b"\x20"
 #: Bytes of a shard, about.
 SHARD_BYTES = 256 << 20
+#: Payloads of several rows whose table is broadcast.
+COPIES = 2_000_000
+#: Bytes of a shard that one task reads.
+STRETCH = 16 << 20
 #: PNG's signature, and the length of signature and header chunk.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 HEADER_BYTES = 33
@@ -94,13 +98,12 @@ def image_feature(payload: bytes) -> str:
 
 
 class Shards:
-    """Tar files that one task appends to, each of about SHARD_BYTES; a payload goes in once."""
+    """Tar files that one task appends to, each of about SHARD_BYTES."""
 
     def __init__(self, folder: str, part: str) -> None:
         self.fs, self.root = arrow_fs.FileSystem.from_uri(folder)
         self.folder, self.part, self.number = folder, part, 0
         self.out, self.name, self.at = None, "", 0
-        self.places: dict[bytes, tuple[str, int, int]] = {}
 
     def add(self, digest: bytes, stored: bytes) -> tuple[str, int, int]:
         if self.out is None or self.at > SHARD_BYTES:
@@ -114,7 +117,6 @@ class Shards:
         self.out.write(head + stored + b"\0" * (-len(stored) % 512))
         place = (f"{self.folder}/{self.name}", self.at + len(head), len(stored))
         self.at += len(head) + len(stored) + -len(stored) % 512
-        self.places[digest] = place
         return place
 
     def close(self) -> None:
@@ -124,8 +126,28 @@ class Shards:
             self.out = None
 
 
+def payload_key(text: Column) -> list[Column]:
+    """128 bits that stand for a text's payload, which the blanks at its end only change by its length."""
+    held = F.coalesce(text.cast("string"), F.lit(""))
+    bare, rows = F.rtrim(held), F.greatest(F.lit(1), F.ceil(F.octet_length(held) / WIDTH))
+    return [F.xxhash64(bare, rows).alias("_k1"), F.xxhash64(F.lit(1), bare, rows).alias("_k2")]
+
+
+def _writers(df: DataFrame, text: str, keep: str) -> DataFrame:
+    """(_k1, _k2, _text): a row for each distinct payload, that of the smallest ``keep``; equal rows stay.
+
+    Only what several rows have is looked up: that table is broadcast up to COPIES rows (24 bytes each), so that texts
+    stay where they are; beyond, texts move once.
+    """
+    rows = df.select(F.col(keep).alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"), *payload_key(F.col(text)))
+    copies = Written(rows.groupBy("_k1", "_k2").agg(F.min("_id").alias("_least"), F.count("*").alias("_n")).where("_n > 1").select("_k1", "_k2", "_least", F.lit(True).alias("_copied")), "media-copies").df
+    joined = rows.join(F.broadcast(copies) if copies.count() <= COPIES else copies, ["_k1", "_k2"], "left")
+    return joined.where(F.col("_copied").isNull() | F.col("_id").eqNullSafe(F.col("_least"))).select("_k1", "_k2", "_text")
+
+
 def store(df: DataFrame, folder: str | None = None, text: str = "text", keep: str = "doc_id") -> DataFrame:
-    """Writes every row's payload; returns ``keep``, ``n_bytes``, ``digest``, ``shard``, ``offset``, ``length``.
+    """Writes every distinct payload; returns ``_k1``, ``_k2`` (the payload's key), ``digest``, ``shard``, ``offset``,
+    ``length``, a row each.
 
     Null texts count as empty: 192 blanks. The table that is returned is written, so the shards are made once.
     """
@@ -138,52 +160,45 @@ def store(df: DataFrame, folder: str | None = None, text: str = "text", keep: st
         task = TaskContext.get()
         shards = Shards(folder, f"{task.partitionId():06d}-{task.attemptNumber()}-{uuid.uuid4().hex[:12]}")
         for batch in batches:
-            places, sizes, digests = [], [], []
-            for t in batch.column(1).to_pylist():
-                raw = (t or "").encode()
-                payload = padded(raw)
+            made = []
+            for t in batch.column(2).to_pylist():
+                payload = padded(t.encode())
                 digest = hashlib.sha256(payload).digest()
-                places.append(shards.places.get(digest) or shards.add(digest, encode_image(payload)))
-                sizes.append(len(raw))
-                digests.append(digest.hex())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array([p[0] for p in places], pa.string()), pa.array([p[1] for p in places], pa.int64()), pa.array([p[2] for p in places], pa.int64())],
-                names=[keep, "n_bytes", "digest", "shard", "offset", "length"],
-            )
+                made.append((digest.hex(), *shards.add(digest, encode_image(payload))))
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
+            columns = zip(*made, strict=True) if made else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["_k1", "_k2", "digest", "shard", "offset", "length"])
         shards.close()
 
-    rows = df.select(F.col(keep), F.col(text).cast("string").alias("_text")).mapInArrow(run, f"{keep} {df.schema[keep].dataType.simpleString()}, n_bytes long, digest string, shard string, offset long, length long")
-    return Written(rows, "media-rows").df
-
-
-def catalogue(rows: DataFrame) -> DataFrame:
-    """One place for each digest, whichever shards hold it: digest, shard, offset, length."""
-    return rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("p")).select("digest", "p.shard", "p.offset", "p.length")
+    placed = Written(_writers(df, text, keep).mapInArrow(run, "_k1 long, _k2 long, digest string, shard string, offset long, length long"), "media-places").df
+    # Equal rows of one id have each written their payload: one place counts.
+    return placed.groupBy("_k1", "_k2").agg(F.min(F.struct("digest", "shard", "offset", "length")).alias("p")).select("_k1", "_k2", "p.*")
 
 
 def _ranges(places: DataFrame, columns: str, work, header: bool = False) -> DataFrame:
-    """Reads each place's bytes, or their header alone, shard by shard in order of offset."""
-    ordered = places.select("digest", "shard", "offset", "length").repartition("shard").sortWithinPartitions("shard", "offset")
+    """Reads each place's bytes, or their header alone, stretch by stretch of a shard in order of offset."""
+    stretch = F.floor(F.col("offset") / STRETCH).alias("_stretch")
+    ordered = places.select("_k1", "_k2", "shard", "offset", "length", stretch).repartition("shard", "_stretch").sortWithinPartitions("shard", "offset").drop("_stretch")
     names = [c.split()[0] for c in columns.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened, held = "", None
         for batch in batches:
             made = []
-            for digest, shard, offset, length in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for k1, k2, shard, offset, length in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if shard != opened:
                     if held is not None:
                         held.close()
                     system, path = arrow_fs.FileSystem.from_uri(shard)
                     opened, held = shard, system.open_input_file(path)
-                made.append((digest, *work(held.read_at(min(length, HEADER_BYTES) if header else length, offset))))
-            yield pa.RecordBatch.from_pylist([dict(zip(["digest", *names], m, strict=True)) for m in made], schema=kinds)
+                made.append((k1, k2, *work(held.read_at(min(length, HEADER_BYTES) if header else length, offset))))
+            yield pa.RecordBatch.from_pylist([dict(zip(["_k1", "_k2", *names], m, strict=True)) for m in made], schema=kinds)
         if held is not None:
             held.close()
 
     arrow = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
-    kinds = pa.schema([("digest", pa.string()), *[(c.split()[0], arrow[c.split()[1]]) for c in columns.split(", ")]])
-    return ordered.mapInArrow(run, f"digest string, {columns}")
+    kinds = pa.schema([("_k1", pa.int64()), ("_k2", pa.int64()), *[(c.split()[0], arrow[c.split()[1]]) for c in columns.split(", ")]])
+    return ordered.mapInArrow(run, f"_k1 long, _k2 long, {columns}")
 
 
 def headers(places: DataFrame) -> DataFrame:
@@ -206,13 +221,15 @@ def media_columns(df: DataFrame, folder: str | None = None, text: str = "text",
 
     Null texts count as empty; rows may repeat; other columns are ignored; an empty table gives no rows.
     """
-    rows = store(df, folder, text, keep)
-    places = catalogue(rows)
-    places = Written(places, "media-catalogue").df
-    columns = read_back(places).join(headers(places), "digest")
-    named = places.join(columns, "digest").select("digest", "shard", "offset", "length", "width", "height", "bits", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
-    return rows.select(keep, "n_bytes", "digest").join(named, "digest")
+    places = store(df, folder, text, keep)
+    columns = read_back(places).join(headers(places), ["_k1", "_k2"])
+    # Written, so that the join of all rows is a join alone, which may be split where a text has many rows.
+    named = Written(places.join(columns, ["_k1", "_k2"]), "media-columns").df
+    rows = df.select(F.col(keep).alias("_id"), F.coalesce(F.octet_length(F.col(text).cast("string")), F.lit(0)).cast("long").alias("n_bytes"), *payload_key(F.col(text)))
+    return rows.join(named, ["_k1", "_k2"]).select(F.col("_id").alias(keep), "n_bytes", "digest", "shard", "offset", "length", "width", "height", "bits", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
 def digests(df: DataFrame, keep: str = "doc_id") -> DataFrame:
+    """The columns of ``media_columns`` that do not depend on where payloads lie. Nulls, empty and long texts, repeated
+    rows, empty tables and other columns as there."""
     return media_columns(df, keep=keep).select(keep, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")

@@ -67,3 +67,19 @@ def test_shards_are_tar_files(some, monkeypatch):
         for member in archive.getmembers()[:20]:
             payload = media.decode_image(archive.extractfile(member).read())
             assert hashlib.sha256(payload).hexdigest() + ".png" == member.name
+
+
+@pytest.mark.parametrize("copies", [2_000_000, 0])
+def test_a_payload_is_stored_once(spark, monkeypatch, copies):
+    """Whatever tasks its rows lie in, blanks at the end and nulls included."""
+    monkeypatch.setattr(media, "COPIES", copies)
+    monkeypatch.setattr(media, "STRETCH", 2000)
+    texts = ["same", "same ", "same" + " " * 188, "same" + " " * 189, "", None, " ", "other é"]
+    df = spark.createDataFrame([(i, texts[i % 8]) for i in range(80)], "doc_id long, text string").repartition(7)
+    got = check(df)
+    assert media.store(df).count() == len({r["digest"] for r in got}) == len({(r["shard"], r["offset"]) for r in got}) == 4
+    folder = got[0]["shard"].removeprefix("file:").replace("//", "/").rsplit("/", 1)[0]
+    import os
+    import tarfile
+
+    assert sum(len(tarfile.open(f"{folder}/{name}").getmembers()) for name in os.listdir(folder) if name.endswith(".tar")) == 4
