@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from eventloom.llm import ann
 
@@ -65,3 +66,25 @@ def test_recall_of_skewed_norms(spark):
         for r in ann.search(df, df.where("vec_id % 20 = 0")).collect():
             got.setdefault(r["query_id"], set()).add(r["vec_id"])
         assert sum(len(got[q] & {x for x, _ in want[q]}) for q in want) >= 0.93 * 20 * len(want)
+
+
+def spread(kind, dim, n, rng):
+    if kind == "unrelated":
+        return rng.standard_normal((n, dim))
+    centres = rng.standard_normal((40, dim))
+    return centres[rng.integers(0, 40, n)] + 0.6 * rng.standard_normal((n, dim))
+
+
+@pytest.mark.parametrize("dim", [64, 128, 384])
+@pytest.mark.parametrize("kind", ["unrelated", "clustered"])
+def test_recall_by_dimension(kind, dim):
+    """An index is fitted to how its vectors lie; where there are clusters, few are verified."""
+    vectors = spread(kind, dim, 4000, np.random.default_rng(dim))
+    vectors /= np.sqrt((vectors**2).sum(axis=1))[:, None]
+    block, asked = ann.Block(np.arange(4000), vectors), np.arange(0, 4000, 50)
+    found = block.search(asked, vectors[asked], 20)
+    products = vectors[asked] @ vectors.T
+    products[np.arange(len(asked)), asked] = -np.inf
+    nearest = np.argsort(-products, axis=1)[:, :20]
+    assert np.mean([len(np.intersect1d(f[0], t)) / 20 for f, t in zip(found, nearest, strict=True)]) >= 0.93
+    assert block.ranges[0].want(20) < (0.4 if kind == "clustered" else 1.01) * 4000
