@@ -154,8 +154,6 @@ SEGMENTS = WORDS * 64 // SEGMENT_BITS
 STRETCH = 2048
 KEYS_A_TASK = 1 << 20
 
-#: Rounds of leaders before the texts of keys that are still apart are compared by their rare shingles.
-LEADERS = 2
 #: Ratio of the classes of numbers of shingles.
 GROW = 1.05
 
@@ -250,30 +248,31 @@ def _shared(texts: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
     return signatures, shared
 
 
-def _open(shared: DataFrame, found: DataFrame | None) -> DataFrame:
-    """The members of the keys whose members aren't all joined yet, with their ``label``s, the number of members ``n``,
-    the key's commonest label ``top`` and how many have it (``most``)."""
-    of = shared.withColumn("label", F.col("node")) if found is None else shared.join(components(found), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    each = of.groupBy("key", "label").agg(F.count("*").alias("c"))
-    keys = each.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("top"), F.max("c").alias("most"), F.sum("c").alias("n"), F.count("*").alias("parts")).where("parts > 1")
-    return of.join(keys.drop("parts"), "key")
+def _led(shared: DataFrame) -> DataFrame:
+    """One comparison a text at most: with the most central of the leaders of its keys.
 
-
-def _led(members: DataFrame) -> DataFrame:
-    """One comparison a text at most: with the most central of the leaders of its keys that it isn't joined to.
-
-    A key's leader is the member that meets most others of other labels over all its keys: where near copies vary one
-    text in ways of their own, that is the text itself or what comes nearest to it.
+    A key's leader is the member that meets most others over all its keys: where near copies vary one text in ways of
+    their own, that is the text itself or what comes nearest to it.
     """
-    others = F.col("n") - F.when(F.col("label") == F.col("top"), F.col("most")).otherwise(1)
-    central = members.groupBy("node").agg(F.sum(others).alias("met"))
-    leaders = members.join(central, "node").groupBy("key").agg(F.max(F.struct("met", F.col("node").alias("other"), F.col("label").alias("its"))).alias("leader"))
-    best = members.join(leaders, "key").where("label != leader.its").groupBy("node").agg(F.max("leader").alias("leader"))
+    sizes = shared.groupBy("key").agg(F.count("*").alias("n"))
+    central = shared.join(sizes, "key").groupBy("node").agg(F.sum(F.col("n") - 1).alias("met"))
+    leaders = shared.join(central, "node").groupBy("key").agg(F.max(F.struct("met", F.col("node").alias("other"))).alias("leader"))
+    best = shared.join(leaders, "key").where("node != leader.other").groupBy("node").agg(F.max("leader").alias("leader"))
     return best.select(F.least("node", "leader.other").alias("a"), F.greatest("node", "leader.other").alias("b")).distinct()
 
 
-def _rest(texts: DataFrame, members: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """A superset of the similar pairs of different labels among all texts of open keys, by prefixes of rare shingles.
+def _apart(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """(node, label): all members of the components that meet another one in some key. A component is one entry of a key
+    however many members it has there."""
+    of = shared.join(components(found), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    each = of.select("key", "label").distinct()
+    both = each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    labels = each.join(both, "key", "left_semi").select("label").distinct()
+    return of.select("node", "label").distinct().join(labels, "label", "left_semi").select("node", "label")
+
+
+def _rest(texts: DataFrame, labels: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """A superset of the similar pairs of different labels among the nodes of ``labels``, by prefixes of rare shingles.
 
     With every text's shingles in one order, the rarest first, the first shingle that two texts share leaves at most what
     follows it to be shared. So it stands at place i <= x - t + 1 of a text of x shingles that must share t with the
@@ -282,7 +281,6 @@ def _rest(texts: DataFrame, members: DataFrame, shingle: int, similarity: float)
     that no other text has take places and need no rows. Texts that look alike but aren't have own shingles there, so
     what meets is in proportion to what is similar.
     """
-    labels = members.select("node", "label").distinct()
     asked = texts.join(labels, "node", "left_semi")
     size = asked.agg(F.sum(F.octet_length("_t").cast("long"))).first()[0] or 0
     parts = max(texts.sparkSession.sparkContext.defaultParallelism, -(-size // (6 * KEYS_A_TASK)))
@@ -336,22 +334,17 @@ def similar_pairs(df: DataFrame, shingle: int = 5, similarity: float = 0.8, text
 def _similar_nodes(df: DataFrame, shingle: int, similarity: float, text: str, keep: str) -> tuple[DataFrame, DataFrame]:
     """The distinct texts, and pairs (a, b) of nodes verified: Jaccard similarity of their sets of shingles.
 
-    The pairs join what all similar pairs with a key in common join. Each text is compared with one leader a round, and
-    only keys whose members that leaves apart go on; the texts of those are compared by their rare shingles.
+    The pairs join what all similar pairs with a key in common join. Each text is compared with one leader first; the
+    components that this leaves apart although they have a key in common are then compared by their rare shingles.
     """
     texts = Written(_distinct_texts(df, text, keep), "texts").df
     with scratch("similar"):
         signatures, shared = _shared(texts, shingle)
-        tried = found = None
-        for turn in range(LEADERS + 1):
-            members = Written(_open(shared, found), "open")
-            if members.df.isEmpty() and found is not None:
-                break
-            fresh = _rest(texts, members.df, shingle, similarity) if turn == LEADERS else _led(members.df)
-            fresh = Written(fresh if tried is None else fresh.join(tried, ["a", "b"], "left_anti"), "candidates").df
-            more = _verified(texts, signatures, fresh, shingle, similarity)
-            found = more if found is None else found.unionByName(more)
-            tried = fresh if tried is None else tried.unionByName(fresh)
+        tried = Written(_led(shared), "candidates").df
+        found = _verified(texts, signatures, tried, shingle, similarity)
+        apart = Written(_apart(shared, found), "apart").df
+        fresh = Written(_rest(texts, apart, shingle, similarity).join(tried, ["a", "b"], "left_anti"), "candidates").df
+        found = found.unionByName(_verified(texts, signatures, fresh, shingle, similarity))
     return texts, found
 
 
