@@ -27,6 +27,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--execution-cfg", help="YAML of Spark settings")
     p.add_argument("--nblocks-per-dataset", type=int, default=-1)
     p.add_argument("--nblocks-per-sample", type=int, default=-1)
+    p.add_argument("--shared-events", metavar="FOLDER", help="reads the source once: a copy of what the tables need goes here for the run (spark.checkpoint.dir if that is set)")
     p.add_argument("--blocksize", type=int, default=1_000_000)
     p.add_argument("--quiet", action="store_true")
     p.add_argument("--profile", action="store_true", help="prints each table's plan")
@@ -66,13 +67,14 @@ def main(argv: list[str] | None = None) -> int:
         parser().error("dataset_cfg and sequence_cfg are needed")
     stages = read_sequence(args.sequence_cfg, args.outdir)
     datasets = read_datasets(args.dataset_cfg)
-    blocks = max(args.nblocks_per_dataset, args.nblocks_per_sample)
+    # Both limit what is read of one dataset; the smaller one holds, and numbers below 1 are none.
+    blocks = min((n for n in (args.nblocks_per_dataset, args.nblocks_per_sample) if n >= 1), default=None)
     spark = session(args)
     if args.bookkeeping:
         write_booking(args.outdir, args.sequence_cfg, datasets, vars(args))
     source = get_source(args.source, args.source_cfg) if args.source else None
-    ctx = as_events(spark, datasets, source, blocks * args.blocksize if blocks >= 0 else None)
-    results = run(stages, ctx, write=True)
+    ctx = as_events(spark, datasets, source, None if blocks is None else blocks * args.blocksize)
+    results = run(stages, ctx, write=True, shared=args.shared_events or spark.conf.get("spark.checkpoint.dir", None))
     for name, table in results.items():
         if args.profile:
             table.explain("formatted")

@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.functions.expressions import compile_expression, quoted
+from eventloom.functions.expressions import compile_expression, quoted, variables
 from eventloom.functions.types import Typed
 
 #: Columns that every event has beside its variables.
@@ -26,6 +26,14 @@ class Context:
     def compile(self, text: str) -> Typed:
         return compile_expression(text, self.df.schema, self.aliases)
 
+    def columns_of(self, texts: list[str]) -> list[str]:
+        """The columns that expressions read, in order."""
+        out = []
+        for text in texts:
+            for name in variables(text):
+                out += variables(self.aliases.get(name, name), self.df.schema)
+        return list(dict.fromkeys(out))
+
     def with_column(self, name: str, column: Column) -> Context:
         """A new variable; redefining one is an error, for dotted names too."""
         if name in self.df.columns:
@@ -52,7 +60,13 @@ def is_mc() -> Column:
 
 
 class Stage:
-    """A stage: ``apply`` changes the events, ``collect`` gives a table from the events as they were before it."""
+    """A stage: ``apply`` changes the events, ``collect`` gives a table from the events as they were before it.
+
+    ``keeps_rows`` says that ``apply`` drops no event, repeats none and changes no column but ``__alive``; ``needs`` names
+    the columns that ``collect`` reads. Tables of stages that say both can be made from one copy of the events.
+    """
+
+    keeps_rows = False
 
     def __init__(self, name: str, out_dir: str = ".", **config: Any) -> None:
         self.name, self.out_dir = name, out_dir
@@ -63,6 +77,9 @@ class Stage:
     def collect(self, ctx: Context) -> DataFrame | None:
         return None
 
+    def needs(self, ctx: Context) -> list[str] | None:
+        return None
+
     def file_name(self) -> str | None:
         return None
 

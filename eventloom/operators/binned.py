@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from eventloom.functions.expressions import compile_expression, quoted, variables
+from eventloom.functions.expressions import compile_expression, quoted
 from eventloom.functions.types import FLOAT, as_float
 
 from .base import ALIVE, DATASET, EVENTTYPE, Context, Stage, alive, is_mc
@@ -20,16 +20,6 @@ from .explode import explode_events
 MOST_BINS = 10_000_000
 
 
-def _taken(ctx: Context, texts: list[str]) -> list[str]:
-    """The columns that expressions need, in order."""
-    out = []
-    for text in texts:
-        for name in variables(text):
-            name = ctx.aliases.get(name, name)
-            out += variables(name, ctx.df.schema) if "." in name else [name] if name in ctx.df.columns else []
-    return list(dict.fromkeys(out))
-
-
 class BinnedDataframe(Stage):
     """``binning``: a list of ``{in, out, bins}``; ``weights``: variables to sum.
 
@@ -39,6 +29,8 @@ class BinnedDataframe(Stage):
     with nulls. Weights count for simulated events only unless ``weight_data``.
     """
 
+    keeps_rows = True
+
     def __init__(self, name: str, out_dir: str = ".", binning: Any = None, weights: Any = None, dataset_col: bool = True, pad_missing: bool = False, file_format: Any = None, observed: bool = False, weight_data: bool = False) -> None:
         super().__init__(name, out_dir)
         self.dims, self.weights = dimensions(binning), weights_of(weights)
@@ -47,6 +39,9 @@ class BinnedDataframe(Stage):
     def file_name(self) -> str:
         return f"tbl_{'dataset.' if self.dataset_col else ''}{'.'.join(d.out for d in self.dims)}--{self.name}"
 
+    def needs(self, ctx: Context) -> list[str]:
+        return ctx.columns_of([*[d.expression for d in self.dims], *self.weights.values()])
+
     def numbers(self) -> list[str]:
         return ["n", *[f"{w}:sumw" for w in self.weights], *[f"{w}:sumw2" for w in self.weights]]
 
@@ -59,7 +54,7 @@ class BinnedDataframe(Stage):
 
     def _grouped(self, ctx: Context, every: bool) -> DataFrame:
         """``every`` also groups what is in no bin, with null dimensions, and adds ``__mc``: whether any event is simulated."""
-        names = _taken(ctx, [*[d.expression for d in self.dims], *self.weights.values()])
+        names = self.needs(ctx)
         taken = [quoted(n) for n in names if n not in (DATASET, EVENTTYPE)]
         if every:
             rows = explode_events(ctx.df.select(DATASET, EVENTTYPE, F.coalesce(alive(), F.lit(False)).alias(ALIVE), *taken), ALIVE)

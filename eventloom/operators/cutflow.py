@@ -130,6 +130,8 @@ class CutFlow(Stage):
     weight's label. For data, weighted counters are the unweighted ones.
     """
 
+    keeps_rows = True
+
     def __init__(self, name: str, out_dir: str = ".", selection: Any = None, selection_file: str | None = None, keep_unique_id: bool = False, weights: Any = None, counter: bool = True) -> None:
         super().__init__(name, out_dir)
         if (selection is None) == (selection_file is None):
@@ -146,6 +148,10 @@ class CutFlow(Stage):
     def file_name(self) -> str:
         return f"cuts_{self.name}-{'.'.join([UNWEIGHTED, *self.weights])}.csv" if self.weights else f"cuts_{self.name}-{UNWEIGHTED}.csv"
 
+    def needs(self, ctx: Context) -> list[str]:
+        formulas = [c.formula["formula"] if isinstance(c.formula, dict) else c.formula for c in self.selection.flat() if c.formula is not None]
+        return ctx.columns_of([*formulas, *self.weights.values()])
+
     def mask(self, ctx: Context) -> Column:
         return Counts(ctx, self.selection).mask
 

@@ -21,6 +21,8 @@ class Define(Stage):
     Later ones see earlier ones. The mask picks elements before the reduction.
     """
 
+    keeps_rows = True
+
     def __init__(self, name: str, out_dir: str = ".", variables: list | None = None) -> None:
         super().__init__(name, out_dir)
         self.variables = []
@@ -55,6 +57,8 @@ class SystematicWeights(Stage):
     ``extra_variations`` allows. Simulated events only: data has nulls.
     """
 
+    keeps_rows = True
+
     def __init__(self, name: str, out_dir: str = ".", weights: dict | None = None, out_format: str = "weight_{}", extra_variations: list | tuple = ()) -> None:
         super().__init__(name, out_dir)
         allowed = ["nominal", "up", "down", *extra_variations]

@@ -17,6 +17,8 @@ FILE = "__file"
 class EventByEventDataframe(Stage):
     """``collections``: variables to keep; ``mask``: a further selection; ``flatten``: one row an element."""
 
+    keeps_rows = True
+
     def __init__(self, name: str, out_dir: str = ".", collections: Any = None, mask: str | None = None, flatten: bool = True) -> None:
         super().__init__(name, out_dir)
         self.collections, self.mask, self.flatten = [collections] if isinstance(collections, str) else list(collections or []), mask, flatten
@@ -24,6 +26,9 @@ class EventByEventDataframe(Stage):
     def file_name(self) -> str:
         return f"df_{self.name}"
 
+    def needs(self, ctx: Context) -> list[str]:
+        return ctx.columns_of([*self.collections, *([self.mask] if self.mask else [])]) + [c for c in (FILE,) if c in ctx.df.columns]
+
     def collect(self, ctx: Context) -> DataFrame:
         df = ctx.df.where(alive())
         if self.mask:

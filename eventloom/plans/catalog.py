@@ -18,6 +18,7 @@ from eventloom.operators.cutflow import CutFlow, SelectPhaseSpace
 from eventloom.operators.define import Define, SystematicWeights
 from eventloom.operators.explode import explode_events
 from eventloom.operators.skim import EventByEventDataframe
+from eventloom.plans.runner import run
 from eventloom.sources.datasets import Dataset, as_events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,6 +108,7 @@ _reduce("reduce_prod", "round(list_reduce(list_concat([1.0::DOUBLE], list_transf
 _reduce("reduce_any", "len(list_filter(q, lambda x: x > 49)) > 0", "any", "Item_quantity > 49")
 _reduce("reduce_all", "len(list_filter(q, lambda x: x > 5)) = n", "all", "Item_quantity > 5")
 _reduce("reduce_count_nonzero", "len(list_filter(d, lambda x: x <> 0))::BIGINT", "count_nonzero", "Item_discount")
+_reduce("reduce_count_zero", "len(list_filter(d, lambda x: x = 0))::BIGINT", "count_zero", "Item_discount")
 _reduce("reduce_max", "list_max(p)", "max")
 _reduce("reduce_min", "list_min(p)", "min")
 _reduce("reduce_argmax", "(list_position(p, list_max(p)) - 1)::BIGINT", "argmax")
@@ -267,6 +269,46 @@ def _union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctx.df.select("dataset", "eventtype", "o_orderkey", "o_totalprice", "value")
 
 
+@register("aliases_by_dataset", "SELECT 'first' AS dataset, round(o_totalprice * 2, 6) AS twice FROM orders UNION ALL SELECT 'second', round(value * 2, 6) FROM events", "")
+def _aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    books = [Dataset("first", [f"{sf_dir}/orders.parquet"], aliases={"size": "o_totalprice"}), Dataset("second", [f"{sf_dir}/events.parquet"], "data", aliases={"size": "value"})]
+    ctx = Define("define", variables=[{"twice": "size * 2"}]).apply(as_events(spark, books))
+    return ctx.df.select("dataset", F.round("twice", 6).alias("twice"))
+
+
+@register("dataset_row_range", "SELECT 'part' AS dataset, o_orderkey, o_totalprice FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 1200", "")
+def _row_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ctx = as_events(spark, [Dataset("part", [f"{sf_dir}/orders.parquet"], rows={"column": "o_orderkey", "start": 100, "stop": 1200})])
+    return ctx.df.select("dataset", "o_orderkey", "o_totalprice")
+
+
+@register("valid_entries", "SELECT 'first' AS dataset, o_orderkey, true AS known FROM orders", "")
+def _valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ctx = as_events(spark, [Dataset("first", [f"{sf_dir}/orders.parquet"]), Dataset("second", [f"{sf_dir}/events.parquet"])])
+    known = arrays.valid_entry_mask(ctx.compile("o_totalprice")).column
+    return arrays.only_valid_entries(ctx.df, "o_totalprice").select("dataset", "o_orderkey", known.alias("known"))
+
+
+@register("user_merge", "SELECT dataset, o_orderpriority AS priority, count(*) AS events, max(o_totalprice) AS dearest FROM ev WHERE n > 2 GROUP BY ALL")
+def _merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    class Dearest:
+        """A user's aggregate: each batch's own table, and the table of those."""
+
+        name, schema = "dearest", "dataset string, priority string, events long, dearest double"
+
+        def needs(self, ctx):
+            return ["o_orderpriority", "o_totalprice"]
+
+        def partial(self, batch):
+            held = batch.rename(columns={"o_orderpriority": "priority"}).groupby(["dataset", "priority"], as_index=False)
+            return held.agg(events=("o_totalprice", "size"), dearest=("o_totalprice", "max"))
+
+        def merge(self, parts):
+            return parts.groupBy("dataset", "priority").agg(F.sum("events").alias("events"), F.max("dearest").alias("dearest"))
+
+    return run([CutFlow("cuts", selection="NItem > 2"), Dearest()], order_events(spark, sf_dir))["dearest"]
+
+
 @register("hist_embedding", "SELECT label::BIGINT AS label, CASE WHEN x < -0.1 THEN '[-inf, -0.10000000149011612)' WHEN x < 0 THEN '[-0.10000000149011612, 0.0)' WHEN x < 0.10000000149011612 THEN '[0.0, 0.10000000149011612)' ELSE '[0.10000000149011612, inf)' END AS x, count(*) AS n FROM (SELECT label, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY ALL".replace("x < -0.1 ", "x < -0.10000000149011612 "), "")
 def _embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     ctx = events(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
@@ -283,6 +325,8 @@ def _array(name: str, work, sql: str) -> None:
     register(name, f"SELECT o_orderkey, coalesce(array_to_string(list_transform({sql}, lambda x: coalesce((x::BIGINT)::VARCHAR, 'null')), ','), '') AS value FROM ev")(query)
 
 
+_define("define_hypot", "SELECT o_orderkey, round(sqrt(w * w + n * n), 6) AS value FROM ev", "hypot(EventWeight, NItem)", False, rounded=True)
+
 _array("array_pad", lambda v: arrays.pad(v, 3), "list_resize(q, greatest(n, 3))")
 _array("array_fill_none", lambda v: arrays.fill_none(arrays.pad(v, 3), -1), "list_resize(q, greatest(n, 3), -1.0)")
 _array("array_values_as_type", lambda v: arrays.values_as_type(v, "int"), "q")

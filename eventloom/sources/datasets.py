@@ -66,6 +66,8 @@ class Dataset:
     format: str = "parquet"
     options: dict[str, Any] = field(default_factory=dict)
     aliases: dict[str, str] = field(default_factory=dict)
+    #: ``column`` (of integers), ``start`` and ``stop``: reads these rows only, see ``row_range``.
+    rows: dict[str, Any] | None = None
 
 
 def load_yaml(path: str) -> dict:
@@ -73,6 +75,13 @@ def load_yaml(path: str) -> dict:
         return yaml.safe_load(f) or {}
 
 
+def _checked_rows(item: dict) -> dict[str, Any] | None:
+    rows = item.get("rows")
+    if rows is not None and (not isinstance(rows, dict) or "column" not in rows or set(rows) - {"column", "start", "stop"}):
+        raise ValueError(f"dataset {item.get('name')!r}: rows are a column with start and stop, not {rows!r}")
+    return rows
+
+
 def read_datasets(path: str) -> list[Dataset]:
     """Reads a book: ``datasets`` (list), ``defaults``, ``import`` (other books, ``{this_dir}`` is the book's folder)."""
     held, here = load_yaml(path), os.path.dirname(os.path.abspath(path))
@@ -88,7 +97,7 @@ def read_datasets(path: str) -> list[Dataset]:
         files = [f if "://" in f or os.path.isabs(f) else os.path.join(here, f) for f in files]
         if not files:
             raise ValueError(f"dataset {item.get('name')!r} has no files")
-        out.append(Dataset(item["name"], files, item.get("eventtype", "mc"), item.get("format", "parquet"), item.get("options", {}), item.get("aliases", {})))
+        out.append(Dataset(item["name"], files, item.get("eventtype", "mc"), item.get("format", "parquet"), item.get("options", {}), item.get("aliases", {}), _checked_rows(item)))
     if len({d.name for d in out}) < len(out):
         raise ValueError("two datasets have one name")
     return out
@@ -101,6 +110,8 @@ def as_events(spark: SparkSession, datasets: list[Dataset], source: SourcePlugin
     aliases = {k: v for d in datasets for k, v in d.aliases.items() if all(o.aliases.get(k) == v for o in datasets)}
     for d in datasets:
         df = (source or get_source(d.format, d.options)).open(spark, d.files)
+        if d.rows:
+            df = row_range(df, d.rows["column"], d.rows.get("start", 0), d.rows.get("stop", -1))
         own = {k: v for k, v in d.aliases.items() if k not in aliases}
         if taken := own.keys() & set(df.columns):
             raise ValueError(f"dataset {d.name!r}: {sorted(taken)} are columns as well as aliases")

@@ -142,3 +142,35 @@ def test_failed_tables_raise(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(sinks, "MOST_ROWS", 1)
     with pytest.raises(ValueError, match="more than 1 rows"):
         write_table(table, str(tmp_path), "t", "csv")
+
+
+def test_tables_from_one_copy_of_the_events(spark, book, tmp_path):
+    """Tables of stages that keep rows read the copy, later ones the source; the rows are the same."""
+    config = {
+        "stages": [{"vars": "Define"}, {"cuts": "CutFlow"}, {"more": "Define"}, {"table": "BinnedDataframe"}, {"tight": "CutFlow"}, {"skim": "EventByEventDataframe"}, {"mine": "tests.test_runs.Scaled"}, {"last": "BinnedDataframe"}],
+        "vars": {"variables": [{"twice": "y * 2"}]}, "cuts": {"selection": {"All": ["x > 0", "x < 9"]}, "weights": "twice"}, "more": {"variables": [{"half": "x / 2"}]},
+        "table": {"binning": [{"in": "half", "bins": {"edges": [0, 2]}}]}, "tight": {"selection": "half > 2"}, "skim": {"collections": ["x", "half"]},
+        "mine": {"factor": 3}, "last": {"binning": [{"in": "scaled", "bins": {"edges": [0, 5]}}]},
+    }
+    ctx = as_events(spark, [d for d in read_datasets(str(book / "data.yml")) if d.name == "one"])
+    plain, shared = run(build(config), ctx), run(build(config), ctx, shared=str(tmp_path / "copies"))
+    assert list(plain) == list(shared) == ["cuts", "table", "tight", "skim", "mine", "last"]
+    for name, table in plain.items():
+        assert sorted(map(repr, shared[name].collect())) == sorted(map(repr, table.collect()))
+    copied = {name: all("/copies/" in f for f in table.inputFiles()) for name, table in shared.items()}
+    assert copied == {"cuts": True, "table": True, "tight": True, "skim": True, "mine": False, "last": False}
+    assert len(os.listdir(tmp_path / "copies")) == 1
+    run(build(config, str(tmp_path / "out")), ctx, write=True, shared=str(tmp_path / "copies2"))
+    assert not os.listdir(tmp_path / "copies2") and "tbl_dataset.half--table.csv" in os.listdir(tmp_path / "out")
+
+
+def test_row_ranges_and_blocks_of_a_book(spark, book, tmp_path):
+    (book / "rows.yml").write_text("datasets:\n - {name: one, files: [one], rows: {column: x, start: 2, stop: 5}}\n")
+    assert sorted(r.x for r in as_events(spark, read_datasets(str(book / "rows.yml"))).df.collect()) == [2.0, 3.0, 4.0]
+    (book / "bad.yml").write_text("datasets:\n - {name: one, files: [one], rows: 3}\n")
+    with pytest.raises(ValueError, match="rows are a column"):
+        read_datasets(str(book / "bad.yml"))
+    (book / "few.yml").write_text("stages:\n - skim: EventByEventDataframe\nskim: {collections: [x]}\n")
+    for options, most in ((["--nblocks-per-dataset", "2", "--nblocks-per-sample", "3"], 5), (["--nblocks-per-dataset", "0"], 11)):
+        assert main([str(book / "data.yml"), str(book / "few.yml"), "--outdir", str(tmp_path / "few"), "--blocksize", "2", *options]) == 0
+        assert spark.read.parquet(str(tmp_path / "few" / "df_skim")).count() == most
