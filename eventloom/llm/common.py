@@ -98,6 +98,28 @@ class Written:
         delete(self.spark, self.path)
 
 
+#: Sizes up to which Spark gathers a join's side on the driver: as guessed before a run, and as measured when it was shuffled.
+GUESSED = "spark.sql.autoBroadcastJoinThreshold"
+MEASURED = "spark.sql.adaptive.autoBroadcastJoinThreshold"
+
+
+@contextmanager
+def measured_broadcasts(spark: SparkSession) -> Iterator[None]:
+    """What runs inside gathers a join's side on the driver only if its rows, as measured, are within the session's limit.
+
+    The guess goes by compressed files and ignores that rows are multiplied, so it may be a hundred times too low.
+    """
+    before = {k: spark.conf.get(k, None) for k in (GUESSED, MEASURED)}
+    if before[MEASURED] is None:
+        spark.conf.set(MEASURED, spark.conf.get(GUESSED))
+    spark.conf.set(GUESSED, "-1")
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
 def ship_code(spark: SparkSession) -> None:
     """Gives the executors this package once a context, whatever paths they were started with."""
     context = spark.sparkContext

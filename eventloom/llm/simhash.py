@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Written, bounded_batches, integer_id, map_texts, packed, scratch, text_key
+from .common import Written, bounded_batches, integer_id, map_texts, measured_broadcasts, packed, scratch, text_key
 from .components import components
 from .meeting import BLOBS, bits_for, blob_batch, meet, stretch_blobs
 
@@ -30,6 +30,9 @@ LOW_SEGMENT = (1 << SEGMENT_BITS) - 1
 #: Fingerprints of one segment value that are paired with each other; larger buckets go by longer keys.
 BUCKET = 32
 
+#: Crowded values that are sent to all tasks; of more, joins choose by what they measure.
+FEW_CROWDED = 1 << 16
+
 #: Shingles hashed at once: what a very long text needs of memory beyond itself.
 BLOCK = 1 << 15
 
@@ -98,13 +101,14 @@ def close_pairs(fps: DataFrame) -> DataFrame:
     high = fps.select(_high(fp).alias("seg"), "fp")
     low = fps.select(_low(fp).alias("seg"), "fp")
     crowded = lambda t: t.groupBy("seg").count().where(F.col("count") > BUCKET).select("seg")
-    hot_high, hot_low = Written(crowded(high), "crowded"), Written(crowded(low), "crowded")
+    few = lambda t: F.broadcast(t) if t.count() <= FEW_CROWDED else t
+    hot_high, hot_low = few(Written(crowded(high), "crowded").df), few(Written(crowded(low), "crowded").df)
     probes = fps.select(F.col("fp").alias("a"), F.explode(_ball(1)).alias("mask")).select("a", _high(F.col("a").bitwiseXOR(F.col("mask"))).alias("seg"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2
     tables = lambda t, hot: t.join(hot, "seg", "left_anti").select("seg", F.col("fp").alias("b"))
-    found = probes.join(tables(high, hot_high.df), "seg").where("a < b").where(near).select("a", "b")
-    other = low.select("seg", F.col("fp").alias("a")).join(tables(low, hot_low.df), "seg").where("a < b").where(near).select("a", "b")
-    return found.unionByName(other).unionByName(_hot_links(fps, high, low, hot_high.df, hot_low.df, probes)).distinct()
+    found = probes.join(tables(high, hot_high), "seg").where("a < b").where(near).select("a", "b")
+    other = low.select("seg", F.col("fp").alias("a")).join(tables(low, hot_low), "seg").where("a < b").where(near).select("a", "b")
+    return found.unionByName(other).unionByName(_hot_links(fps, high, low, hot_high, hot_low, probes)).distinct()
 
 
 def _hot_links(fps: DataFrame, high: DataFrame, low: DataFrame, hot_high: DataFrame, hot_low: DataFrame, probes: DataFrame) -> DataFrame:
@@ -132,13 +136,15 @@ def near_duplicates(df: DataFrame, shingle: int = 3, text: str = "text", keep: s
     are linked like others. Repeated rows stay; an empty table gives no rows; other columns are ignored.
     """
     rows = Written(fingerprints(df, shingle, text, keep).select(F.col(keep).alias("_id"), "fp"), "fingerprints").df
-    distinct = Written(rows.groupBy("fp").agg(F.min("_id").alias("least")), "distinct").df
-    labels = components(close_pairs(distinct.select("fp")))
-    labelled = distinct.join(labels, distinct["fp"] == labels["node"]).select("fp", "least", "label")
-    lowest = labelled.groupBy("label").agg(F.min("least").alias("lowest"))
-    # Written, so that the join of all rows is a join alone, which may be split where a fingerprint has many rows.
-    groups = Written(distinct.join(labelled.join(lowest, "label").select("fp", "lowest"), "fp", "left").select("fp", F.coalesce("lowest", "least").alias("component_id")), "groups").df
-    return rows.join(groups, "fp").select(F.col("_id").alias(keep), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    with measured_broadcasts(df.sparkSession):
+        distinct = Written(rows.groupBy("fp").agg(F.min("_id").alias("least")), "distinct").df
+        labels = components(close_pairs(distinct.select("fp")))
+        labelled = distinct.join(labels, distinct["fp"] == labels["node"]).select("fp", "least", "label")
+        lowest = labelled.groupBy("label").agg(F.min("least").alias("lowest"))
+        # Written, so that the join of all rows is a join alone, which may be split where a fingerprint has many rows.
+        groups = Written(distinct.join(labelled.join(lowest, "label").select("fp", "lowest"), "fp", "left").select("fp", F.coalesce("lowest", "least").alias("component_id")), "groups").df
+    # A row for each fingerprint: too many for the driver, and this join runs under the caller's settings.
+    return rows.join(groups.hint("merge"), "fp").select(F.col("_id").alias(keep), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 #: Near-duplicates by similarity: 64-bit words of a wide fingerprint, members of the ball around each segment that are

@@ -187,3 +187,28 @@ def test_one_id_of_two_texts(spark):
     rows = [(1, base), (2, base + " tail"), (2, other), (3, third), (3, third + " end"), (None, third + " more")]
     kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(kept) == 3 and {(r["doc_id"], r["text"][:40]) for r in kept} == {(i, t[:40]) for i, t in [(1, base), (2, other), (3, third)]}
+
+
+def test_the_driver_gathers_what_was_measured(spark):
+    """Exploded rows are many more than the file that they come from: no join's side goes to the driver by the file's size."""
+    rng = random.Random(13)
+    made = [" ".join(f"w{rng.getrandbits(30)}" for _ in range(4)) for _ in range(4_000)]
+    made += [t.upper() for t in made[:50]]
+    before = {"spark.sql.autoBroadcastJoinThreshold": "256k", "spark.sql.maxBroadcastTableSize": "3m"}
+    held = {k: spark.conf.get(k, None) for k in [*before, "spark.sql.adaptive.autoBroadcastJoinThreshold"]}
+    try:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        result = simhash.near_duplicates(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string"))
+        got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in result.collect()}
+        assert "Broadcast" not in result._jdf.queryExecution().executedPlan().toString()
+        assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "256k" and spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None) == held["spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    prints = np.array([by_definition(t) for t in made], np.uint64)
+    near = [np.flatnonzero(np.bitwise_count(prints ^ p) <= 2).tolist() for p in prints]
+    labels = list(range(len(made)))
+    while (then := [min(labels[j] for j in js) for js in near]) != labels:
+        labels = then
+    assert got == {i: (f"{int(prints[i]):016x}", labels[i]) for i in range(len(made))}
