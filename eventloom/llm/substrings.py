@@ -36,6 +36,8 @@ ANCHOR = GRAM + HALF
 CROWD = 512
 #: Bytes of neighbourhoods in a bin, about.
 BIN_BYTES = 1 << 16
+#: Bytes of neighbourhoods in an Arrow batch, about; those of one text stay together.
+BODY_BYTES = 2 << 20
 #: String starts in one pass over texts, and the bytes of texts whose anchors are packed together.
 BLOCK = 1 << 19
 STRETCH = 16 << 20
@@ -133,6 +135,31 @@ def _shared_places(docs: DataFrame, size: int) -> DataFrame:
     return meet(docs.select("_row", "_text").mapInArrow(run, BLOBS), parts)
 
 
+def _bodies(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The neighbourhoods of a batch of (doc, row, text, places); those of many texts share a batch of some BODY_BYTES."""
+    place, many = batch.column(3).flatten().to_numpy(), batch.column(3).value_lengths().to_numpy()
+    doc, row = (np.repeat(batch.column(i).to_numpy(), many) for i in (0, 1))
+    start = place >> 11
+    froms, tos = start.tolist(), (start + (place >> 6 & 31) + (LENGTH - 1)).tolist()
+    shift, side = (place >> 1 & 31).astype(np.int32), (place & 1).astype(np.int32)
+    bodies: list[bytes] = []
+    at = done = size = 0
+
+    def made() -> pa.RecordBatch:
+        columns = [x[done:at] for x in (doc, row, start, shift, side)]
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(bodies, pa.binary())], names=["doc", "row", "start", "shift", "side", "body"])
+
+    for text, n in zip(batch.column(2).to_pylist(), many.tolist(), strict=True):
+        data = text.encode()
+        bodies += [data[a:b] for a, b in zip(froms[at : at + n], tos[at : at + n], strict=True)]
+        at, size = at + n, size + n * LENGTH
+        if size > BODY_BYTES:
+            yield made()
+            bodies, done, size = [], at, 0
+    if bodies:
+        yield made()
+
+
 def _neighbourhoods(docs: DataFrame, places: DataFrame) -> DataFrame:
     """(doc, row, start, shift, side, body): the bytes around each shared anchor."""
     held = places.groupBy("owner").agg(F.collect_list("place").alias("places"))
@@ -141,14 +168,8 @@ def _neighbourhoods(docs: DataFrame, places: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, row, text, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
-                data, place = text.encode(), at.values.to_numpy()
-                start, count = place >> 11, place >> 6 & 31
-                bodies = [data[a:b] for a, b in zip(start.tolist(), (start + count + (LENGTH - 1)).tolist(), strict=True)]
-                same = [np.full(len(place), x, np.int64) for x in (doc, row)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, same), pa.array(start), pa.array((place >> 1 & 31).astype(np.int32)), pa.array((place & 1).astype(np.int32)), pa.array(bodies, pa.binary())], names=names)
-
-    names = ["doc", "row", "start", "shift", "side", "body"]
+            yield from _bodies(batch)
+
     return joined.mapInArrow(run, "doc long, row long, start long, shift int, side int, body binary")
 
 
@@ -156,33 +177,39 @@ def first_documents(bodies: list[tuple[bytes, int, int]], length: int = ANCHOR)
     """For each (bytes, anchor's offset, smallest document): of each of its strings the smallest document in the bin."""
     symbols: list[int] = []
     anchors: dict[bytes, int] = {}
-    where: list[tuple[int, int]] = []
-    for b, (body, shift, _) in enumerate(bodies):
-        anchor = anchors.setdefault(body[shift : shift + length], 257 + len(anchors))
-        piece = [x + 1 for x in body[:shift]] + [anchor] + [x + 1 for x in body[shift + length :]] + [0]
-        count = len(body) - LENGTH + 1
-        where += [(b, o) for o in range(count)] + [(b, -1)] * (len(piece) - count)
-        symbols += piece
+    strings: list[bytes | None] = []
+    where: list[tuple[list[int], int]] = []
     least = [[doc] * (len(body) - LENGTH + 1) for body, _, doc in bodies]
-    run: list[tuple[int, int]] = []
+    for (body, shift, _), low in zip(bodies, least, strict=True):
+        anchor = anchors.setdefault(body[shift : shift + length], 257 + len(anchors))
+        rest = len(body) - length + 2 - len(low)
+        strings += [body[o : o + LENGTH] for o in range(len(low))]
+        strings += [None] * rest
+        where += [(low, o) for o in range(len(low))]
+        where += [(low, -1)] * rest
+        symbols += [x + 1 for x in body[:shift]]
+        symbols.append(anchor)
+        symbols += [x + 1 for x in body[shift + length :]]
+        symbols.append(0)
+    run: list[tuple[list[int], int]] = []
     last = b""
 
     def close() -> None:
-        if len(run) > 1:
-            low = min(bodies[b][2] for b, _ in run)
-            for b, o in run:
-                least[b][o] = low
+        smallest = min(low[o] for low, o in run)
+        for low, o in run:
+            low[o] = smallest
 
     for at in suffix_array(symbols):
-        b, o = where[at]
-        if o < 0:
+        string = strings[at]
+        if string is None:
             continue
-        string = bodies[b][0][o : o + LENGTH]
         if string != last:
-            close()
+            if len(run) > 1:
+                close()
             run, last = [], string
-        run.append((b, o))
-    close()
+        run.append(where[at])
+    if len(run) > 1:
+        close()
     return least
 
 
@@ -321,14 +348,13 @@ def _ranges(unique: Written, size: int) -> DataFrame:
     return cuts.df.join(names.df, "row").drop("row")
 
 
-def merged(ranges: list[dict]) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for a, b in sorted((r["from"], r["to"]) for r in ranges):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+def merged(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the union of byte ranges (from, to) begins and ends, in order; ranges that touch are one."""
+    order = np.argsort(starts, kind="stable")
+    starts, stops = starts[order], np.maximum.accumulate(stops[order])
+    first = np.ones(len(starts), bool)
+    first[1:] = starts[1:] > stops[:-1]
+    return starts[first], stops[np.append(first[1:], True)] if len(stops) else stops
 
 
 def _cut(texts: DataFrame, ranges: DataFrame, kept: bool) -> DataFrame:
@@ -339,8 +365,14 @@ def _cut(texts: DataFrame, ranges: DataFrame, kept: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for t, ranges in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                data, cuts, at, left = t.encode(), merged(ranges), 0, []
+            # All texts' ranges at once: texts lie 4 GB apart, so none of their ranges touch.
+            many = batch.column(3).value_lengths().to_numpy()
+            apart = np.repeat(np.arange(len(many)) << 32, many)
+            starts, stops = merged(*(x.to_numpy() + apart for x in batch.column(3).flatten().flatten()))
+            ends = np.searchsorted(starts, np.arange(1, len(many) + 1) << 32).tolist()
+            starts, stops = (starts & 0xFFFFFFFF).tolist(), (stops & 0xFFFFFFFF).tolist()
+            for t, lo, hi in zip(batch.column(2).to_pylist(), [0, *ends], ends, strict=False):
+                data, cuts, at, left = t.encode(), list(zip(starts[lo:hi], stops[lo:hi], strict=True)), 0, []
                 for a, b in cuts:
                     left.append(data[at:a])
                     at = b

@@ -3,7 +3,7 @@
 Every suffix is grouped by its longest Lyndon prefix. Groups are worked off in descending order: when one is done, its
 suffixes' nearest smaller predecessors (followed along previous-smaller pointers over all suffixes done) learn that
 their own Lyndon prefixes go on by that group's, as often as it is repeated, and move to a new group just above their
-old one. Nothing is renamed and no recursion is needed. A second sweep emits the order inside each group: as each suffix
+old one, unless all of the old one would move alike. Nothing is renamed and no recursion is needed. A second sweep emits the order inside each group: as each suffix
 is emitted in ascending order, the suffixes whose next smaller suffix it is take the next places of their groups.
 """
 
@@ -27,12 +27,29 @@ def _lyndon_groups(text: list[int] | bytes, n: int) -> tuple[list[int], list[int
     for i, symbol in enumerate(group):
         members[symbol].append(i)
     below, above = list(range(-1, len(members) - 1)), [*range(1, len(members)), -1]
+    sizes = [len(m) for m in members]
     before, done = [-1] * n, bytearray(n)
     order: list[tuple[int, int]] = []
     g = len(members) - 1
     while g >= 0:
-        held = [i for i in members[g] if group[i] == g]
-        if held:
+        if sizes[g] == 1:
+            order.append((g, 1))
+            i = next(i for i in members[g] if group[i] == g)
+            p = i - 1
+            while p >= 0 and done[p]:
+                p = before[p]
+            before[i], done[i] = p, 1
+            if p >= 0 and sizes[lower := group[p]] > 1:
+                new, over = len(members), above[lower]
+                members.append([p])
+                sizes.append(1)
+                sizes[lower] -= 1
+                group[p] = new
+                below.append(lower)
+                above.append(over)
+                above[lower] = below[over] = new
+        elif sizes[g]:
+            held = [i for i in members[g] if group[i] == g]
             order.append((g, len(held)))
             times: dict[int, int] = {}
             for i in held:
@@ -50,12 +67,17 @@ def _lyndon_groups(text: list[int] | bytes, n: int) -> tuple[list[int], list[int
             for p, m in times.items():
                 made.setdefault((group[p], m), []).append(p)
             newest: dict[int, int] = {}
-            for lower, m in sorted(made):
+            for lower, m in sorted(made) if len(made) > 1 else made:
+                moved = made[lower, m]
+                if len(moved) == sizes[lower] and lower not in newest:
+                    continue
                 # Just above the old group and those with fewer repeats, below what left the old group before.
                 new, under = len(members), newest.get(lower, lower)
                 over = above[under]
-                members.append(made[lower, m])
-                for p in made[lower, m]:
+                members.append(moved)
+                sizes.append(len(moved))
+                sizes[lower] -= len(moved)
+                for p in moved:
                     group[p] = new
                 below.append(under)
                 above.append(over)

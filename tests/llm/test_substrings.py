@@ -2,12 +2,13 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from eventloom.llm import meeting, substrings
-from eventloom.llm.suffixes import suffix_array
+from eventloom.llm.suffixes import _lyndon_groups, suffix_array
 
 
 @settings(max_examples=300, deadline=None)
@@ -118,3 +119,34 @@ def test_blobs_keep_what_stretches_share(bits):
 def test_ids_are_integers(spark):
     with pytest.raises(TypeError):
         substrings.dedup(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
+
+
+def test_groups_that_move_as_one_stay():
+    """A suffix without an equal prefix and a group that moves whole need no new group, which is most of the work."""
+    text = random.Random(1).sample(range(1, 2000), 1500)
+    assert len(_lyndon_groups(text, len(text))[1]) == max(text) + 2
+    for text in (b"ab" * 200, [*range(1, 60), 0] * 5):
+        assert suffix_array(text) == sorted(range(len(text)), key=lambda i: text[i:])
+        assert len(_lyndon_groups(text, len(text))[1]) < max(text) + 2 + len(text) // 2
+
+
+def test_neighbourhoods_of_texts_share_a_batch(monkeypatch):
+    texts = [f"{i:04}" * 40 for i in range(200)]
+    place = lambda start, count, shift, side: start << 11 | count << 6 | shift << 1 | side
+    wanted = [(i, i + 1000, at, 3, at % 2, texts[i].encode()[at : at + 54]) for i in range(200) for at in range(i % 4)]
+    places = pa.array([[place(at, 5, 3, at % 2) for at in range(i % 4)] for i in range(200)], pa.list_(pa.int64()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array(range(1000, 1200)), pa.array(texts), places], names=["doc", "row", "text", "places"])
+    for most, batches in ((1 << 20, 1), (1000, 15)):
+        monkeypatch.setattr(substrings, "BODY_BYTES", most)
+        made = list(substrings._bodies(batch))
+        assert len(made) == batches and [tuple(r.values()) for b in made for r in b.to_pylist()] == wanted
+
+
+def test_merged_ranges():
+    rng = random.Random(4)
+    for _ in range(200):
+        ranges = [(a, a + rng.randrange(1, 9)) for a in (rng.randrange(60) for _ in range(rng.randrange(12)))]
+        covered = {x for a, b in ranges for x in range(a, b)}
+        starts, stops = substrings.merged(*np.array(ranges, np.int64).reshape(-1, 2).T)
+        assert starts.tolist() == sorted(x for x in covered if x - 1 not in covered)
+        assert stops.tolist() == sorted(x + 1 for x in covered if x + 1 not in covered)
