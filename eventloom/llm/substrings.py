@@ -137,27 +137,27 @@ def _shared_places(docs: DataFrame, size: int) -> DataFrame:
 
 def _bodies(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """The neighbourhoods of a batch of (doc, row, text, places); those of many texts share a batch of some BODY_BYTES."""
-    place, many = batch.column(3).flatten().to_numpy(), batch.column(3).value_lengths().to_numpy()
-    doc, row = (np.repeat(batch.column(i).to_numpy(), many) for i in (0, 1))
-    start = place >> 11
-    froms, tos = start.tolist(), (start + (place >> 6 & 31) + (LENGTH - 1)).tolist()
-    shift, side = (place >> 1 & 31).astype(np.int32), (place & 1).astype(np.int32)
+    places, many = batch.column(3).flatten().to_numpy(), batch.column(3).value_lengths().to_numpy()
+    docs, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy()
     bodies: list[bytes] = []
-    at = done = size = 0
+    at = done = first = size = 0
 
-    def made() -> pa.RecordBatch:
-        columns = [x[done:at] for x in (doc, row, start, shift, side)]
+    def made(end: int) -> pa.RecordBatch:
+        place, owners = places[done:at], slice(first, end)
+        same = [np.repeat(x[owners], many[owners]) for x in (docs, rows)]
+        columns = [*same, place >> 11, (place >> 1 & 31).astype(np.int32), (place & 1).astype(np.int32)]
         return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(bodies, pa.binary())], names=["doc", "row", "start", "shift", "side", "body"])
 
-    for text, n in zip(batch.column(2).to_pylist(), many.tolist(), strict=True):
-        data = text.encode()
-        bodies += [data[a:b] for a, b in zip(froms[at : at + n], tos[at : at + n], strict=True)]
+    for i, (text, n) in enumerate(zip(batch.column(2).to_pylist(), many.tolist(), strict=True)):
+        data, place = text.encode(), places[at : at + n]
+        start = place >> 11
+        bodies += [data[a:b] for a, b in zip(start.tolist(), (start + (place >> 6 & 31) + (LENGTH - 1)).tolist(), strict=True)]
         at, size = at + n, size + n * LENGTH
         if size > BODY_BYTES:
-            yield made()
-            bodies, done, size = [], at, 0
+            yield made(i + 1)
+            bodies, done, first, size = [], at, i + 1, 0
     if bodies:
-        yield made()
+        yield made(len(many))
 
 
 def _neighbourhoods(docs: DataFrame, places: DataFrame) -> DataFrame:
